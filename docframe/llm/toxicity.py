@@ -64,8 +64,8 @@ LUT = _symbols()
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all texts in one array, and where each text begins."""
-    raw = SEP.join([SEP[:1] + t.replace("\0", " ").lower() for t in texts] + [""])
+    """The symbols of all texts in one array, and where the SEP before each text begins."""
+    raw = "".join([SEP + t.replace("\0", " ").lower() for t in texts]) + SEP
     cps = np.frombuffer(raw.encode("utf-32-le", "replace"), np.uint32)
     sym = LUT[np.minimum(cps, 65535)]
     cut = cps == 0
@@ -82,7 +82,6 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lone = np.zeros_like(blank)
         lone[2:-2] = blank[2:-2] & blank[:-4] & blank[4:] & ~blank[1:-3] & ~blank[3:-1]
         sym, first = sym[~lone], first[~lone]
-    # each text follows a run of SEP; the very first has a single one before it
     return sym, np.flatnonzero(first)[: len(texts)]
 
 
