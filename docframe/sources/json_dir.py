@@ -58,12 +58,12 @@ def read_files(spark: SparkSession, directory: str, names: list[str]) -> DataFra
     out = None
     if len(plain) > FEW:
         wanted = spark.createDataFrame([(quote(n),) for n in plain], "_n string")
-        every = _parsed(spark.read.text(directory, wholetext=True, pathGlobFilter="*.json"))
+        every = _parsed(spark.read.option("ignoreMissingFiles", "true").text(directory, wholetext=True, pathGlobFilter="*.json"))
         out = every.join(wanted, F.col("_file") == F.col("_n"), "left_semi")
     elif plain:
         escape = lambda n: "".join("\\" + c if c in "*?[]{}\\" else c for c in n)
         paths = [os.path.join(directory, escape(n)) for n in plain if os.path.exists(os.path.join(directory, n))]
-        out = _parsed(spark.read.text(paths, wholetext=True)) if paths else None
+        out = _parsed(spark.read.option("ignoreMissingFiles", "true").text(paths, wholetext=True)) if paths else None
     if hidden:
         extra = _hidden(spark, directory, hidden)
         out = extra if out is None else out.unionByName(extra)
@@ -76,6 +76,6 @@ def read_documents(spark: SparkSession, directory: str, manifest: dict[str, tupl
     plain = [n for n in names if n[0] not in "_."]
     if len(plain) <= FEW:
         return read_files(spark, directory, names)
-    out = _parsed(spark.read.text(directory, wholetext=True, pathGlobFilter="*.json"))
+    out = _parsed(spark.read.option("ignoreMissingFiles", "true").text(directory, wholetext=True, pathGlobFilter="*.json"))
     hidden = [n for n in names if n[0] in "_."]
     return out.unionByName(_hidden(spark, directory, hidden)) if hidden else out

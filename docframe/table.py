@@ -31,6 +31,8 @@ from .sources.json_dir import list_manifest, read_documents, read_files
 from .spec import AssociationSpec, GsiSpec, SchemaError, TableSpec
 
 BUFFER = 1000
+#: Every so many refreshes a cached table is read anew, which ends the chain of snapshots.
+LINEAGE = 20
 ROW = "_pk string, doc variant, _file string"
 
 
@@ -67,6 +69,8 @@ class Table:
         self._spark = spark or (frame.sparkSession if frame is not None else None)
         self._typed = frame
         self._base: DataFrame | None = None
+        self._hot: DataFrame | None = None
+        self._refreshes = 0
         self._buffer: dict[str, str | None] = {}
         self._manifest: dict[str, tuple[int, int]] = {}
         self._checked = 0.0
@@ -132,9 +136,14 @@ class Table:
         return last_write(rows, ["_pk"], [F.col("_mtime"), F.col("_file")]).select("_pk", "doc", "_file")
 
     def _swap(self, base: DataFrame) -> None:
-        if self.spec.storage == "memory":
-            base = base.persist()
-        self._base, self._postings = base, None
+        """Make base the snapshot. In memory mode its documents are cached; in index_only mode
+        its keys are, as of now, and documents are read from their files when asked for."""
+        old, self._hot = self._hot, base.persist() if self.spec.storage == "memory" else base.select("_pk").persist()
+        self._hot.count()
+        if old is not None:
+            old.unpersist()
+        self._base = self._hot if self.spec.storage == "memory" else base
+        self._postings = None
 
     @property
     def records(self) -> dict[str, dict[str, Any]]:
@@ -316,7 +325,8 @@ class Table:
             gone = [json.loads(r) for r in self._rows_of(changes.deleted)] if self.on_delete and changes.deleted else []
             self.refresh_errors = self._unreadable(files, {n: manifest[n] for n in reread})
             fresh = self._keyed(files)
-            if self.spec.storage == "memory" and self._base is not None:
+            self._refreshes += 1
+            if self.spec.storage == "memory" and self._base is not None and self._refreshes % LINEAGE:
                 # the snapshot is cached: only what changed is read
                 touched = self.spark.createDataFrame([(n,) for n in reread + changes.deleted], "_f string")
                 current = self._schemaless()
@@ -370,6 +380,9 @@ class Table:
         return self.scan_snapshot()
 
     def count(self, index: str | None = None, value: Any = None) -> int:
+        if index is None and self._hot is not None and self.spec.storage == "index_only":
+            keys = self.spark.createDataFrame([(k,) for k in self._buffer], "_pk string")
+            return self._hot.join(F.broadcast(keys), "_pk", "left_anti").count() + sum(v is not None for v in self._buffer.values())
         view = self.view()
         if index is None:
             return view.frame.count()
