@@ -74,15 +74,13 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before2 = np.ones_like(sym)
     before2[2:] = sym[:-2]
     keep = cut | ((sym != 0) | (before != 0)) & ~((sym == before) & (sym == before2))
-    first = np.zeros_like(cut)
-    first[0], first[1:] = True, cut[1:] & ~cut[:-1]
-    sym, first = sym[keep], first[keep]
+    sym, cut = sym[keep], cut[keep]
     if len(sym) > 4:  # i d i o t: no gap between letters that stand alone
         blank = sym == 0
         lone = np.zeros_like(blank)
         lone[2:-2] = blank[2:-2] & blank[:-4] & blank[4:] & ~blank[1:-3] & ~blank[3:-1]
-        sym, first = sym[~lone], first[~lone]
-    return sym, np.flatnonzero(first)[: len(texts)]
+        sym, cut = sym[~lone], cut[~lone]
+    return sym, np.flatnonzero(cut)[:: len(SEP)][: len(texts)]
 
 
 def position_scores(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
