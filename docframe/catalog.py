@@ -47,13 +47,13 @@ def spec(name: str, **more) -> TableSpec:
 
 
 def database(spark: SparkSession, sf_dir: str) -> Database:
-    """All tables, lazily read; nothing runs here."""
+    """All tables; each is opened when a query first names it."""
     from .table import Table
 
-    db = Database(spark)
-    for name in SPECS:
-        db.add_table(name, Table(name, spec=spec(name), frame=spark.read.parquet(f"{sf_dir}/{name}.parquet")))
-    return db
+    def opened(name: str) -> Table | None:
+        return Table(name, spec=spec(name), frame=spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in SPECS else None
+
+    return Database(spark, opened)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from .table import Table, collect_records
 
 
 class Database:
-    def __init__(self, spark: SparkSession | None = None):
-        self._spark = spark
+    def __init__(self, spark: SparkSession | None = None, loader: Callable[[str], Table | None] | None = None):
+        """loader: gives a table when it is first named, or None where there is no such table."""
+        self._spark, self._loader = spark, loader
         self.tables: dict[str, Table] = {}
 
     def add_table(self, name: str, table: Table | DataFrame, **spec: Any) -> Table:
@@ -44,7 +46,10 @@ class Database:
 
     def table(self, name: str) -> Table:
         if name not in self.tables:
-            raise KeyError(f"no table {name!r}")
+            found = self._loader(name) if self._loader else None
+            if found is None:
+                raise KeyError(f"no table {name!r}")
+            self.tables[name] = found
         return self.tables[name]
 
     def _view(self, name: str) -> View:
