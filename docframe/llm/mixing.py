@@ -5,12 +5,14 @@ then due f = target / source size copies. It gets floor(f) copies outright; the
 probability, and so a mass of p * size words between 0 and size. Pivotal rounding takes two
 fractional documents of a source and moves mass from one to the other, in a random direction
 whose odds keep both expectations, until one of them is at 0 or at its size. The sum of masses
-never changes, so a source's words come within one document of its target.
+never changes, so a source's words come within half a document of its target, or nearer.
 
 The pairing runs as a reduction tree: documents are dealt by hash into groups of about FAN per
 source, each group is folded in one task and leaves at most one fractional document, and these
 residuals meet in the next level, until one is left per source; that one goes to its nearer
-end. Within a group long documents come first, so that short ones settle what is left of them. A hot source is just more groups, and no group grows with the data.
+end, and one other document, of about the size of the difference, makes up for it. Within a
+group long documents come first, so that short ones settle what is left of them. A hot source
+is just more groups, and no group grows with the data.
 
 All random numbers are hashes of the rows' values, so reruns agree.
 
@@ -84,6 +86,27 @@ def _of_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     return rows.join(per, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
+def _exchanged(done: DataFrame, most: int) -> DataFrame:
+    """done with at most one document of each source taken once more or less.
+
+    The last document of a source may be long, and leaves up to half of its words over or
+    missing. The document whose size is nearest to that difference makes up for it, if it is the
+    only one of its key and the source comes nearer its target.
+    """
+    over = F.sum(F.col("size") * F.col("copies")) - F.first("target")
+    off = done.groupBy("source").agg(over.alias("_over")).withColumnRenamed("source", "_source")
+    rows = done.join(off, F.col("source").eqNullSafe(F.col("_source")))
+    may = (F.col("size") > 0) & F.when(F.col("_over") > 0, F.col("copies") > 0).otherwise(F.col("copies") < most)
+    left = F.abs(F.col("size") - F.abs("_over"))
+    best = F.min(F.when(may & (left < F.abs("_over")), F.struct(left.alias("left"), F.col("key").alias("key"))))
+    pick = rows.groupBy("source").agg(best.alias("b"), F.first("_over").alias("_over")).where("b is not null")
+    pick = pick.select(F.col("b.key").alias("_key"), F.when(F.col("_over") > 0, -1).otherwise(1).alias("_step"))
+    alone = done.select("key").join(pick, F.col("key") == F.col("_key")).groupBy("_key", "_step").count().where("count = 1").drop("count")
+    alone = materialize(alone, "exchanged")
+    out = done.join(alone, F.col("key") == F.col("_key"), "left")
+    return out.withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0)))
+
+
 def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """(key, doc_id, source, size, source_size, target, copies) of each document.
 
@@ -122,7 +145,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, seed: int = 17
     done = done.unionByName(rows.withColumn("d", F.col("d").withField("m", last)))
     full = (F.col("d.size") > 0) & (F.col("d.m") >= F.col("d.size"))
     done = done.select("source", "d.key", "d.doc_id", "d.size", (F.col("d.whole") + full.cast("long")).alias("copies"))
-    return _of_source(done, per).select("key", "doc_id", "source", "size", "source_size", "target", "copies")
+    return _exchanged(_of_source(done, per), max_repeats).select("key", "doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
