@@ -13,7 +13,7 @@ leftovers cuts nothing, so checksums stay.
 
 Tokens. The vocabulary's pre-tokeniser never joins characters across white space, so a text's
 ids are those of its white-space-separated words in turn; each distinct word is encoded once per
-task and kept in a cache of bounded size. Texts with a special token's string or with separator
+worker process and kept in a cache of bounded size. Texts with a special token's string or with separator
 control characters, where that rule needs care, are encoded whole.
 
 Defined results: null texts are empty and give the end id alone; texts of any length are packed
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,11 +40,54 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_of
 
 CAPACITY, OPEN, MERGE, END_ID = 2048, 64, 64, 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+#: Fixed value: the pattern by which the vocabulary's pre-tokeniser finds pieces.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BEYOND = "\u0250"
 CARE = re.compile(r"[\x1c-\x1f]|<\|")
 PIECES = "row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part boolean"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others for code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Words to the bytes of their ids; a new word is encoded when it is first looked up.
+
+    The word is normalised and cut by the vocabulary's own rules and each piece goes to its BPE
+    model, which is several times cheaper than the whole machinery for each rare word. Words with
+    a character beyond the Latin blocks, where lower case or composition may need more than that
+    character, go through the whole tokenizer.
+    """
+
+    def __init__(self, whole):
+        import regex
+
+        self.whole, self.model, self.pieces = whole, whole.model, {}
+        self.cut = regex.compile(SPLIT).findall
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if not word.isascii() and max(word) >= BEYOND:
+            self[word] = out = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return out
+        low = word.lower()
+        out = b""
+        for piece in [low] if low.isascii() and low.isalpha() else self.cut(low):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+                self.pieces[piece] = ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            out += ids
+        self[word] = out
+        return out
+
+
 class WordTokenizer:
     """ids of texts by a tokenizers file whose pre-tokeniser splits at white space."""
 
@@ -50,25 +95,23 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if CARE.search(t) else t.split() for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        cache = self.cache
-        new = list(set(chain.from_iterable(w for w in split if w is not None)).difference(cache))
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            cache.update(zip(some, (e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False))))
-        out = []
-        for t, words in zip(texts, split):
-            if words is None:
-                ids = self.whole.encode(t, add_special_tokens=False).ids
-            else:
-                ids = list(chain.from_iterable(map(cache.__getitem__, words)))
-            out.append(np.array([*ids, END_ID], dtype="<u4"))
-        return out
+        self.words = Words(self.whole)
+        self.end = np.array([END_ID], "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids and the end id."""
+        if CARE.search(text):
+            return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+            self.words.pieces.clear()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())) + self.end, "<u4")
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One per worker process, so that its words serve all tasks that the process runs."""
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -137,7 +180,7 @@ def pack_tokens(tokenizer_path: str, capacity: int = CAPACITY, limit: int = OPEN
     """A function for mapInArrow: batches of (row, text) to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = WordTokenizer(tokenizer_path), Packer(capacity, limit)
+        tokens, packer = tokenizer_of(tokenizer_path), Packer(capacity, limit)
         context = TaskContext.get()
         first, types = (context.partitionId() if context else 0) << 40, {"part": pa.bool_()}
 
@@ -150,9 +193,8 @@ def pack_tokens(tokenizer_path: str, capacity: int = CAPACITY, limit: int = OPEN
         for b in batches:
             rows = b.column("row").to_pylist()
             for lo in range(0, len(rows), 256):
-                texts = b.column("text").slice(lo, 256).to_pylist()
-                for row, ids in zip(rows[lo : lo + 256], tokens.encode(texts)):
-                    packer.add(row, ids)
+                for row, text in zip(rows[lo : lo + 256], b.column("text").slice(lo, 256).to_pylist()):
+                    packer.add(row, tokens.encode(text))
                 if packer.closed:
                     yield batch(packer.closed)
                     packer.closed = []
