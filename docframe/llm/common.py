@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, and a lost
     executor costs nothing that was written."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it waits for garbage
+    collections of the driver, which may be far apart while executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most`` rows; Spark joins larger
+    ones by shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def remove(spark: SparkSession, path: str) -> None:

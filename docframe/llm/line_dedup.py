@@ -14,7 +14,7 @@ pre-aggregated like any sum. Matches are then verified by edit distance on the t
 
 Emitting variants of every line would multiply the corpus by the length of its lines. One edit
 leaves one half of a line untouched, so lines that share neither half (at its length and place)
-with another distinct line have no neighbour, and only the others emit. That test loses nothing:
+with another distinct line have no neighbour, and only the others emit, and only for characters of the half that may differ. That test loses nothing:
 for each line it compares the halves it would have at its own length and at one less.
 
 Defined results: null texts count as empty and null ids sort first; rows that agree in id and
@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import materialize, small, table, text_of
 
 MIN_CHARS = 20
 B = 0x9E3779B97F4A7C15 | 1
 B_INVERSE = pow(B, -1, 1 << 64)
 VARIANTS = "line long, key long, whole boolean"
 STEP = 1 << 16
+#: Rows of up to this many candidates' places, some 50 bytes each, are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (line, text) to the line's own key and those of its variants.
+    """mapInArrow: (line, text, left, right) to the line's own key and those of its variants that
+    lack a character of its left or right half, the middle one counting to both.
 
     Keys are polynomial hashes modulo 2**64 of mixed code points; prefix sums give those of all
     variants of a line at once.
@@ -76,14 +79,18 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     power = np.ones(1, np.uint64)
     for b in batches:
         lines, keys, whole, size = [], [], [], 0
-        for line, text in zip(b.column("line").to_pylist(), b.column("text").to_pylist()):
+        for line, text, left, right in zip(*(b.column(c).to_pylist() for c in ("line", "text", "left", "right"))):
             cps = _mix(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1))
             if len(power) <= len(cps):
-                power = np.cumprod(np.concatenate([[1], np.full(2 * len(cps), B, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+                power = np.full(2 * len(cps) + 1, B, np.uint64)
+                power[0] = 1
+                power = np.cumprod(power, dtype=np.uint64)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cps * power[: len(cps)], dtype=np.uint64)])
             total = sums[-1]
-            gone = _mix(sums[:-1] + (total - sums[1:]) * np.uint64(B_INVERSE))
-            place = _mix(gone + np.arange(1, len(cps) + 1, dtype=np.uint64) * np.uint64(B))
+            middle = (len(cps) - 1) // 2
+            some = slice(0 if left else middle, len(cps) if right else middle + 1)
+            gone = _mix(sums[:-1][some] + (total - sums[1:][some]) * np.uint64(B_INVERSE))
+            place = _mix(gone + np.arange(1, len(cps) + 1, dtype=np.uint64)[some] * np.uint64(B))
             own = np.concatenate([place, np.unique(gone), _mix(np.array([total]))])
             keys.append(own.view(np.int64))
             whole.append(np.arange(len(own)) == len(own) - 1)
@@ -96,6 +103,25 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(lines, keys, whole)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether two strings are within edit distance 1."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    x, y = (np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32) for s in (a, b))
+    differ = np.flatnonzero(x != y[: len(x)])
+    at = int(differ[0]) if len(differ) else len(x)
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: the lines of (line, t, u) whose texts are neighbours."""
+    for b in batches:
+        keep = [within_one(t, u) for t, u in zip(b.column("t").to_pylist(), b.column("u").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(keep, pa.bool_()))], names=["line"])
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """((line, first) of every distinct line of at least min_chars, (line, near): lines that go
     for an earlier neighbour). ``line`` is a line's hash, ``first`` where it first occurred."""
@@ -107,32 +133,36 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     known = each.groupBy("line").agg(F.min(F.struct("at", "halves")).alias("x"))
     known = materialize(known.select("line", F.col("x.at").alias("first"), F.col("x.halves").alias("halves")), "lines")
     half = known.select("line", F.posexplode("halves").alias("kind", "key"))
-    half = half.select("line", "key", (F.col("kind") < 2).alias("own"))
-    # a key matters if it holds two lines, one of them at its own length
+    half = half.select("line", "key", (F.col("kind") < 2).alias("own"), (F.col("kind") % 2).alias("side"))
+    # a key matters if it holds two lines, one of them at its own length; equal left halves leave
+    # a difference on the right
     shared = half.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own"))
     shared = shared.where("a <> b and own").select("key")
-    some = half.join(shared, "key", "left_semi").select("line").distinct()
+    some = half.join(shared, "key").groupBy("line").agg(F.max(F.col("side") == 1).alias("left"), F.max(F.col("side") == 0).alias("right"))
     some = materialize(some.join(known.select("line", "first"), "line"), "candidates")
     # their texts, from where they first occurred
-    wanted = some.select("line", F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
-    spots = wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "_no")).alias("_spots"))
+    wanted = some.select("line", F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
+    spots = materialize(wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "_no")).alias("_spots"), F.count(F.lit(1)).alias("_n")), "spots")
+    # rows of many candidates are few: what is broadcast is bounded by candidates, not documents
+    spots = small(spots, BROADCAST_ROWS) if (spots.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_ROWS else spots
     held = docs.select(F.col("row").alias("_row"), F.split(text_of(F.col("text")), "\n").alias("_lines")).join(spots, "_row")
     texts = held.select(F.explode("_spots").alias("s"), "_lines").select(F.col("s.line").alias("line"), F.element_at("_lines", F.col("s._no") + 1).alias("text"))
-    texts = materialize(texts, "texts")
-    firsts = some.select("line", "first")
-    emitted = texts.mapInArrow(variants, VARIANTS).join(firsts, "line")
+    texts = materialize(texts.dropDuplicates(["line"]), "texts")
+    emitted = texts.join(some.select("line", "left", "right"), "line").select("line", "text", "left", "right")
+    # one shuffle serves both the sums and the rows that they choose
+    emitted = emitted.mapInArrow(variants, VARIANTS).repartition("key")
+    common = emitted.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
+    hits = materialize(emitted.join(common, "key").join(some.select("line", "first"), "line"), "hits")
     # the earliest line of a key: of those that are the variant itself, and of those that lost a
     # character; place keys have the latter only and there all are neighbours
     own = lambda cond: F.min(F.when(cond, F.struct("first", "line")))
-    groups = emitted.groupBy("key").agg(own(F.col("whole")).alias("self"), own(~F.col("whole")).alias("cut"), F.min("line").alias("a"), F.max("line").alias("b"))
-    groups = groups.where("a <> b").select("key", "self", "cut")
-    back = emitted.join(groups, "key")
+    groups = hits.groupBy("key").agg(own(F.col("whole")).alias("self"), own(~F.col("whole")).alias("cut"))
     near = F.when(F.col("whole"), F.col("cut")).otherwise(F.coalesce("self", "cut"))
-    links = back.select("line", "first", near.alias("near")).where("near.first < first")
+    links = hits.join(groups, "key").select("line", "first", near.alias("near")).where("near.first < first")
     links = links.select("line", F.col("near.line").alias("near")).distinct()
     pairs = links.join(texts.withColumnRenamed("text", "t"), "line").join(texts.select(F.col("line").alias("near"), F.col("text").alias("u")), "near")
-    near_lines = pairs.where(F.levenshtein("t", "u", 1).between(0, 1)).select("line").distinct()
-    return known.select("line", "first"), near_lines
+    near_lines = pairs.select("line", "t", "u").mapInArrow(verified, "line long").distinct()
+    return known.select("line", "first"), materialize(near_lines, "near")
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +173,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", t
     occurrences = lines_of(rows).where(F.length("line") >= min_chars).select("row", "no", "doc_id", F.xxhash64("line").alias("line"))
     marks = first.join(near.withColumn("near", F.lit(True)), "line", "left")
     gone = occurrences.join(marks, "line").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "no") != F.col("first")))
-    gone = gone.groupBy("row").agg(F.collect_set("no").alias("gone"))
+    gone = materialize(gone.groupBy("row").agg(F.collect_set("no").alias("gone")), "gone")
     out = rows.join(gone.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), "left").drop("_r")
     lines = F.split(text_of(F.col("text")), "\n")
     out = out.withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)"))).withColumn("lines", lines)
