@@ -46,10 +46,12 @@ def url_key(url) -> F.Column:
     return F.when(host == "", rest).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest)))
 
 
-def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """pages as (page_id, url, stamp, payload, digest, bytes, refers_to)."""
+def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None) -> DataFrame:
+    """pages as (page_id, url, stamp, payload, digest, bytes, refers_to). Captures without a
+    time of their own are of 1970."""
     payload = text_of(F.col("html"))
-    stamp = F.date_format(F.coalesce(F.col("stamp").cast("timestamp"), F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "stamp" in pages.columns else F.lit("1970-01-01T00:00:00Z")
+    at = F.coalesce(F.col(stamp_col).try_cast("timestamp"), F.timestamp_seconds(F.lit(0))) if stamp_col else F.timestamp_seconds(F.lit(0))
+    stamp = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), text_of(F.col("url")).alias("url"), stamp.alias("stamp"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     # only digests that repeat are joined; a hot one is pre-aggregated, and split by AQE in the join
     same = rows.where(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -74,10 +76,10 @@ def record() -> F.Column:
     )
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None) -> None:
     """Archives under path, compressed, each of bounded length and sorted by URL key, stamp and
     id. Rows stay in the tasks to which the join by digest has dealt them."""
-    rows = captures(pages, min_revisit).withColumn("_key", url_key(F.col("url")))
+    rows = captures(pages, min_revisit, stamp_col).withColumn("_key", url_key(F.col("url")))
     rows = rows.sortWithinPartitions("_key", "stamp", F.col("page_id").asc_nulls_last())
     rows.select(record().alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
@@ -190,10 +192,10 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None) -> DataFrame:
     """Write pages to new archives in the shared folder, read them back, merge their indexes."""
     path = f"{shared_dir(pages.sparkSession)}/warc"
-    write(pages, path, min_revisit)
+    write(pages, path, min_revisit, stamp_col)
     return merge(read_index(pages.sparkSession, path))
 
 

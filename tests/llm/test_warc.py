@@ -34,6 +34,13 @@ def test_round_trip(spark, tmp_path):
     assert order == sorted(order)
 
 
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "http://a/", "x" * 200, "not a time", 5)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, stamp string, bytes int").write.parquet(f"{tmp_path}/pages.parquet")
+    (r,) = warc.op7_warc(spark, str(tmp_path)).collect()
+    assert (r["page_id"], r["payload_bytes"], r["stamp"]) == (1, 200, "1970-01-01T00:00:00Z")
+
+
 def test_small_archives_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 3)
     rows = pages()
@@ -46,7 +53,7 @@ def test_small_archives_are_merged(spark, tmp_path, monkeypatch):
 def test_timestamps_order_a_history(spark):
     rows = [(i, "http://a.b/c", f"{i}" * 10, f"2024-01-{20 - i:02d} 00:00:00") for i in range(1, 10)]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string, stamp string").withColumn("stamp", F.col("stamp").cast("timestamp"))
-    assert [r["page_id"] for r in warc.archive(docs).collect()] == list(range(9, 0, -1))
+    assert [r["page_id"] for r in warc.archive(docs, stamp_col="stamp").collect()] == list(range(9, 0, -1))
 
 
 def test_null_ids_repeats_and_empty_table(spark, tmp_path):
