@@ -168,16 +168,21 @@ def _landmarks(docs: list[np.ndarray], y: np.ndarray, count: int) -> list[tuple[
         codes, of = [], []
         for i, s in enumerate(docs):
             if len(s) >= n:
-                s = s.astype(np.int64)
+                s = s.astype(np.int32)  # six symbols have 30 bits
                 code = sum(s[k : len(s) - n + 1 + k] << 5 * (n - 1 - k) for k in range(n))
                 codes.append(np.unique(code))
                 of.append(np.full(len(codes[-1]), y[i], np.int8))
         if not codes:
             continue
         codes, of = np.concatenate(codes), np.concatenate(of)
-        keys, at = np.unique(codes, return_inverse=True)
-        pos = np.bincount(at, weights=of == 1, minlength=len(keys))
-        neg = np.bincount(at, minlength=len(keys)) - pos
+        # sorted by code: the documents of a code are a stretch
+        order = np.argsort(codes, kind="stable")
+        codes, of = codes[order], of[order]
+        del order
+        start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        keys, total = codes[start], np.diff(np.append(start, len(codes)))
+        pos = np.add.reduceat(of == 1, start, dtype=np.int32).astype(float)
+        neg = total - pos
         n1, n0 = max((y == 1).sum(), 1), max((y == 0).sum(), 1)
         p = (pos + neg + 0.5) / (n1 + n0 + 1)
         z = (pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -322,7 +327,7 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * mean)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, held_out=None) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> DataFrame:
     """(text, toxic) of at most max_docs labelled documents of each label.
 
     The bound is taken on ids alone, so that only the chosen texts move. Rows without an id or
@@ -339,7 +344,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, held
     return found.join(F.broadcast(some), "_id").select("_id", "text", F.col("_y").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, held_out=None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> Model:
     rows = training_rows(docs, labels, max_docs, held_out).collect()
     rows.sort(key=lambda r: (r["_id"], r["text"], r["toxic"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
