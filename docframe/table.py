@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,16 @@ def collect_records(rows: DataFrame, order: list[Column], includes: dict[str, di
     return [unpack(json.loads(r["t"]), includes) for r in rows.orderBy(*order).select(text.alias("t")).collect()]
 
 
+def predicate_udf(predicate: Callable[[Any], bool]):
+    """A predicate over plain JSON values as a vectorised function of {"v": value} texts."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(predicate(json.loads(t).get("v"))))
+
+    return holds
+
+
 class Table:
     def __init__(
         self, name: str, primary_key: str | None = None, partition_key: str | None = None, sort_key: str | None = None, directory: str | None = None,
@@ -390,17 +401,17 @@ class Table:
 
     def query_gsi(self, name: str, partition_value: Any, sort_condition: Condition | Callable | None = None, descending: bool = False) -> list[dict[str, Any]]:
         """Records of one partition in index order. Any Python predicate over the sort value is
-        taken too; it runs on the driver, over that partition."""
+        taken too; it runs where the rows are, in batches."""
         if name not in self.spec.gsis:
             raise KeyError(f"table {self.name!r} has no index {name!r}")
         self.fresh()
-        gsi, view = self.spec.gsis[name], self.view()
+        gsi = self.spec.gsis[name]
         own = sort_condition if isinstance(sort_condition, Condition) else None
-        found = view.partition(gsi, partition_value, own)
-        records = self._list(found, found.order(gsi, descending))
+        found = self.view().partition(gsi, partition_value, own)
         if sort_condition is not None and own is None:
-            records = [r for r in records if gsi.sort_key and sort_condition(r.get(gsi.sort_key))]
-        return records
+            value = F.to_json(F.struct(found.value(gsi.sort_key).column.alias("v"))) if gsi.sort_key else None
+            found = found.on(found.frame.where(predicate_udf(sort_condition)(value) if gsi.sort_key else F.lit(False)))
+        return self._list(found, found.order(gsi, descending))
 
     def resolve_association(self, name: str, pk: Any, tables: dict[str, Table]) -> Any:
         if name not in self.spec.associations:
