@@ -30,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,13 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_of
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
 CLASS_BITS, FLOOR, POOL_BITS = 16, 0.1, 15
-#: Of 100 samples at a similarity of 0.8, fewer agree than this with a chance below 1e-8.
+#: Of 64 samples at a similarity of 0.8, a smaller share agrees with a chance below 1e-5.
 LEAST_EQUAL = 0.55
 WORDS = re.compile(r"\w+")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 COLUMNS = 4096
+#: Texts of a batch that are Python strings at one time.
+SLICE = 250
+#: Buckets up to FEW nodes are compared by a join, larger ones in blocks of twice BLOCK nodes.
+FEW, BLOCK = 16, 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,12 +106,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total, n = Shingler(), np.zeros(1 << CLASS_BITS, np.int64), 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                _, h, _ = shingles(text)
-                n += len(h) > 0
-                total += np.bincount(classes_of(h), minlength=1 << CLASS_BITS) if len(h) > 2000 else 0
-                if 0 < len(h) <= 2000:
-                    np.add.at(total, classes_of(h), 1)
+            for lo in range(0, b.num_rows, SLICE):
+                found = [shingles(t)[1] for t in b.column("text").slice(lo, SLICE).to_pylist()]
+                n += sum(len(h) > 0 for h in found)
+                total += np.bincount(classes_of(np.concatenate(found)), minlength=1 << CLASS_BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["class", "n"])
 
@@ -132,7 +135,7 @@ class Sampler:
         rng = np.random.default_rng(seed)
         self.r, self.c = rng.gamma(2, 1, 1 << POOL_BITS), rng.gamma(2, 1, 1 << POOL_BITS)
         self.b = rng.random(1 << POOL_BITS)
-        self.odd = _odd(bands * rows, seed + 1)[:, None]
+        self.odd = (_odd(bands * rows, seed + 1)[:, None] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         self.mixer = _odd(rows, seed + 2)
         self.tables: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -152,8 +155,8 @@ class Sampler:
             some = h[w == value]
             for lo in range(0, len(some), COLUMNS):
                 part = some[lo : lo + COLUMNS]
-                at = ((part * self.odd) >> np.uint64(64 - POOL_BITS)).astype(np.int32)
-                a = low[at]
+                at = ((part >> np.uint64(32)).astype(np.uint32) * self.odd) >> np.uint32(32 - POOL_BITS)
+                a = low.take(at)
                 best = a.argmin(1)
                 own = a[np.arange(k), best]
                 better = own < least
@@ -174,10 +177,9 @@ def sketches(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sampler = Shingler(), Sampler()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 1000):
+            for lo in range(0, b.num_rows, SLICE):
                 nodes, weights, keys, equal = [], [], [], []
-                for text in texts[lo : lo + 1000]:
+                for text in b.column("text").slice(lo, SLICE).to_pylist():
                     node, h, count = shingles(text)
                     some = len(h) > 0
                     w = np.round(count * idf[classes_of(h)], 2)
@@ -188,7 +190,7 @@ def sketches(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                     equal.append((s & np.uint64(255)).astype(np.uint8).tobytes())
                 ends = np.cumsum([0, *map(len, keys)])
                 key = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                columns = [b.column("doc_id").slice(lo, 1000), b.column("th").slice(lo, 1000), pa.array(nodes, pa.int64()), pa.array(weights, pa.float64()), key, pa.array(equal, pa.binary())]
+                columns = [b.column("doc_id").slice(lo, SLICE), b.column("th").slice(lo, SLICE), pa.array(nodes, pa.int64()), pa.array(weights, pa.float64()), key, pa.array(equal, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "weight", "keys", "equal"])
 
     kind = dict(rows.dtypes)["doc_id"]
@@ -201,14 +203,13 @@ def weighted_sets(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for b in batches:
-            nodes, texts = b.column("node"), b.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
+            for lo in range(0, b.num_rows, SLICE):
                 hs, ws = [], []
-                for text in texts[lo : lo + 500]:
+                for text in b.column("text").slice(lo, SLICE).to_pylist():
                     _, h, count = shingles(text)
                     hs.append(h.tobytes())
                     ws.append(np.round(count * idf[classes_of(h)], 2).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([nodes.slice(lo, 500), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["node", "h", "w"])
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(lo, SLICE), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["node", "h", "w"])
 
     return rows.select("node", "text").mapInArrow(run, "node long, h binary, w binary")
 
@@ -226,11 +227,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
             keep = []
-            for ha, wa, hb, wb in zip(*cols):
-                parts = (np.frombuffer(ha, np.uint64), np.frombuffer(wa, np.float32), np.frombuffer(hb, np.uint64), np.frombuffer(wb, np.float32))
-                keep.append(similarity(*parts) >= threshold - 1e-9)
+            for row in zip(*(b.column(c) for c in ("ha", "wa", "hb", "wb"))):
+                ha, wa, hb, wb = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.uint64, np.float32) * 2))
+                keep.append(similarity(ha, wa, hb, wb) >= threshold - 1e-9)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
@@ -239,6 +239,74 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long")
 
 
+def _open_pairs(g: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a block that may be links across components, most equal samples first."""
+    equal = np.stack([np.frombuffer(x, np.uint8) for x in g["equal"]])
+    keys, own = np.stack(list(g["keys"])), g["key"].iloc[0]
+    weight, comp, part = g["weight"].to_numpy(), g["comp"].to_numpy(), g["part"].to_numpy()
+    diagonal = g["lo"].iloc[0] == g["hi"].iloc[0]
+    least = round(LEAST_EQUAL * BANDS * ROWS)
+    i_of, j_of, n_of = [], [], []
+    for i in range(1, len(g)):
+        some = (comp[:i] != comp[i]) & (weight[:i] >= threshold * weight[i] - 1e-6) & (weight[i] >= threshold * weight[:i] - 1e-6)
+        if not diagonal:
+            some &= part[:i] != part[i]
+        j = np.flatnonzero(some)
+        if len(j):
+            n = (equal[j] == equal[i]).sum(1)
+            shared = keys[j] == keys[i]
+            first = keys[i][shared.argmax(1)] == own
+            good = (n >= least) & first
+            j_of.append(j[good])
+            n_of.append(n[good])
+            i_of.append(np.full(int(good.sum()), i))
+    if not i_of:
+        return np.zeros(0, int), np.zeros(0, int)
+    i_of, j_of, n_of = map(np.concatenate, (i_of, j_of, n_of))
+    order = np.argsort(-n_of, kind="stable")
+    return i_of[order], j_of[order]
+
+
+def block_links(many: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across components within the buckets of ``many``.
+
+    A bucket's nodes are dealt by hash into parts of about BLOCK; a block holds two parts, or one
+    with itself. First the sketches alone tell which nodes of a block have an open pair; only
+    their sets go to the block, where pairs are compared until all of it is one component.
+    """
+    parts = F.ceil(F.col("size") / BLOCK)
+    rows = many.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "size")
+
+    def involved(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node", ignore_index=True)
+        return g.iloc[np.unique(np.concatenate(_open_pairs(g, threshold)))]
+
+    def compared(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node", ignore_index=True)
+        h = [np.frombuffer(x, np.uint64) for x in g["h"]]
+        w = [np.frombuffer(x, np.float32) for x in g["w"]]
+        at = {c: c for c in g["comp"]}
+
+        def root(c):
+            while at[c] != c:
+                at[c] = c = at[at[c]]
+            return c
+
+        comp, node, out = g["comp"].to_numpy(), g["node"].to_numpy(), []
+        for i, j in zip(*_open_pairs(g, threshold)):
+            a, b = root(comp[i]), root(comp[j])
+            if a != b and similarity(h[i], w[i], h[j], w[j]) >= threshold - 1e-9:
+                at[a] = b
+                out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    blocks = ("key", "lo", "hi")
+    rows = rows.select("key", "node", "comp", "weight", "equal", "keys", "part", "lo", "hi")
+    some = rows.groupBy(*blocks).applyInPandas(involved, rows.schema)
+    return some.join(sets, "node").groupBy(*blocks).applyInPandas(compared, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node in links (a, b): comp is the least node that it reaches.
 
@@ -282,15 +350,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     comps = components(links)
     # nodes that share a bucket with another component
     at = member.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = at.join(split, "key", "left_semi").join(nodes.select("node", "weight", "equal"), "node")
+    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    rest = at.join(split, "key").join(nodes.select("node", "weight", "equal", "keys"), "node")
     rest = materialize(rest, "rest")
-    x = rest.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("weight").alias("va"), F.col("equal").alias("ea"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("weight").alias("vb"), F.col("equal").alias("eb"))
+    few, many = rest.where(F.col("size") <= FEW), rest.where(F.col("size") > FEW)
+    x = few.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("weight").alias("va"), F.col("equal").alias("ea"))
+    y = few.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("weight").alias("vb"), F.col("equal").alias("eb"))
     same = F.expr(f"size(filter(sequence(1, {BANDS * ROWS}), i -> substring(ea, i, 1) = substring(eb, i, 1))) >= {round(LEAST_EQUAL * BANDS * ROWS)}")
     near = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("va") >= threshold * F.col("vb") - 1e-6) & (F.col("vb") >= threshold * F.col("va") - 1e-6)
     across = x.join(y, "key").where(near & same).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verified(across, sets, threshold), "more")
+    more = verified(across, sets, threshold).unionByName(block_links(many, sets, threshold))
+    more = materialize(more, "more")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     named = sk.where("node is not null").select("doc_id", "th", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
