@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_of
 
 CAPACITY, OPEN, MERGE, END_ID = 2048, 64, 64, 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 #: Fixed value: the pattern by which the vocabulary's pre-tokeniser finds pieces.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND = "\u0250"
