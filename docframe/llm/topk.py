@@ -9,7 +9,8 @@ k-th best score that it has already; it only visits bands that can beat it by le
 Bounds have slack for rounding, so no result depends on floating point.
 
 Integers are held as doubles, in which every product and sum is exact while squared lengths
-stay below 2 ** 53; longer vectors are multiplied as Python integers.
+stay below 2 ** 53; longer vectors are multiplied as Python integers. Scores beyond a long are
+given as the nearest long.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 an id, take no part; neither do vectors of another length than most have. Rows that share the
@@ -59,6 +60,11 @@ def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(row, q)) for row in x], object)
 
 
+def longs(s: np.ndarray) -> np.ndarray:
+    """As 64-bit integers; what lies beyond becomes the nearest of them."""
+    return s.astype(np.int64) if s.dtype != object else np.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in s], np.int64)
+
+
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score.astype(np.float64)))[:k] if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], int)
 
@@ -107,7 +113,7 @@ def search(rows: DataFrame, is_query, k: int = 5, scale: int = SCALE, id_col: st
                 if len(at):
                     s = scores(x[at], q[i])
                     good = best(ids[at], s, k)
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][good], "score": s[good].astype(np.int64)}))
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][good], "score": longs(s[good])}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])

@@ -85,6 +85,12 @@ def test_scores_beyond_exact_doubles():
     assert topk.scores(x, q).tolist() == [2 * 2**40 * (2**20 + 1)] * 2
 
 
+def test_scores_beyond_a_long_saturate(spark, tmp_path):
+    table(spark, tmp_path, np.array([[3e14] * 8, [2e14] * 8, [-2e14] * 8], np.float32))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.op9_topk(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, (1 << 63) - 1), (2, 2, -(1 << 63))]
+
+
 @pytest.mark.parametrize("query", [ann.op5_ann, topk.op9_topk])
 def test_empty_single_and_repeated(spark, tmp_path, query):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/a/embeddings.parquet")
