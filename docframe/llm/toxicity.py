@@ -14,7 +14,8 @@ Training. Windows of sentences inherit the label of their document; since only a
 a toxic document are toxic, the SVM is refitted a few times on those windows that score highest
 (multiple instances), and on windows with inserted letters and gaps made from them. At most
 ``max_docs`` labelled documents of each label are used, those with the smallest hashes of
-doc_id; that bound makes collecting them safe.
+doc_id; that bound makes collecting them safe. Scores are calibrated to the share of label 1 among
+all labels, so that 0.5 is where either label is as likely.
 
 Scoring. sum_j b_j k(x, landmark_j) is linear in phi, so all landmarks fold into one weight for
 each u: scoring a window of any text costs twenty table lookups for each symbol, whatever the
@@ -30,6 +31,7 @@ an empty result. Other columns pass through untouched, whatever their names.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -45,6 +47,8 @@ SYMBOLS, ORDER, SPAN, DECAY, WINDOW = 32, 4, 7, 0.6, 8
 GAPS = [(0, *g) for g in combinations(range(1, SPAN), ORDER - 1)]
 SEP = "\0" * (SPAN + WINDOW)
 CHUNK = 1 << 20
+#: Landmarks that may share four letters, and the least z-score of a landmark's contrast.
+PER_CORE, LEAST_CONTRAST = 3, 1.0
 
 
 def _symbols() -> np.ndarray:
@@ -187,10 +191,19 @@ def _landmarks(docs: list[np.ndarray], y: np.ndarray, count: int) -> list[tuple[
         p = (pos + neg + 0.5) / (n1 + n0 + 1)
         z = (pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         order = np.argsort(-z, kind="stable")
-        found += [(z[k], int(keys[k]), n) for k in order[: count * 3 // 4]]
-        found += [(-z[k] / 2, int(keys[k]), n) for k in order[::-1][: count // 4]]
+        found += [(z[k], int(keys[k]), n) for k in order[: 40 * count]]
+        found += [(-z[k] / 2, int(keys[k]), n) for k in order[::-1][: count // 8]]
     found.sort(key=lambda x: (-x[0], x[1], x[2]))
-    return [(c, n) for _, c, n in found[:count]]
+    # substrings of one frequent insult would take all places: each four letters count a few times
+    out, seen = [], Counter()
+    for z, code, n in found:
+        fours = {code >> 5 * k & 0xFFFFF for k in range(n - 3)}
+        if z >= LEAST_CONTRAST and max(seen[f] for f in fours) < PER_CORE:
+            seen.update(fours)
+            out.append((code, n))
+            if len(out) == count:
+                break
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
@@ -220,12 +233,12 @@ def _widen(window: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out[: len(window) + 6]
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int = 3, seed: int = 7) -> Model:
-    """Fit on documents with labels 0 and 1; the same documents in any order give one model."""
+def train(texts: list[str], toxic: list[int], share: float | None = None, landmarks: int = 160, rounds: int = 3, seed: int = 7) -> Model:
+    """Fit on documents with labels 0 and 1. share: that of label 1 among all labels, by which
+    scores are calibrated (else that among the given ones)."""
     y = np.array(toxic, int)
     if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        logit = 20.0 if share == 1 else -20.0
+        logit = 20.0 if len(y) and y[0] == 1 else -20.0
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, logit, [])
     rng = np.random.default_rng(seed)
     docs = [encode([t])[0] for t in texts]
@@ -303,17 +316,17 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
         w = folded(v)
         weights = spread(w)
     raw = best_windows(list(texts), weights)
-    slope, bias = _platt(raw, y)
+    slope, bias = _platt(raw, y, float(y.mean()) if share is None else share)
     return Model(w, slope, bias, [_spell(c, n) for c, n in marks])
 
 
-def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on one score, both labels of equal weight."""
+def _platt(raw: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Logistic regression of the label on one score, weighted to the share of label 1 among all."""
     mean, dev = raw.mean(), raw.std() or 1.0
     x = np.stack([(raw - mean) / dev, np.ones(len(raw))], 1)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    c = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    c = np.where(y == 1, share / n1, (1 - share) / n0)
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -327,8 +340,9 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * mean)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> DataFrame:
-    """(text, toxic) of at most max_docs labelled documents of each label.
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> tuple[DataFrame, float]:
+    """((id, text, toxic) of at most max_docs labelled documents of each label, the share of
+    label 1 among all labels).
 
     The bound is taken on ids alone, so that only the chosen texts move. Rows without an id or
     with a label other than 0 and 1 take no part.
@@ -339,15 +353,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held
     for y in (0, 1):
         part = rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
         some = part if some is None else some.unionByName(part)
+    share = rows.agg(F.avg("_y").alias("share")).first()["share"] or 0.0
     found = docs.select(F.col("doc_id").alias("_id"), text_of(F.col("text")).alias("text"))
     # at most 2 * max_docs short rows
-    return found.join(F.broadcast(some), "_id").select("_id", "text", F.col("_y").alias("toxic"))
+    return found.join(F.broadcast(some), "_id").select("_id", "text", F.col("_y").alias("toxic")), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> Model:
-    rows = training_rows(docs, labels, max_docs, held_out).collect()
+    chosen, share = training_rows(docs, labels, max_docs, held_out)
+    rows = chosen.collect()
     rows.sort(key=lambda r: (r["_id"], r["text"], r["toxic"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return train([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 def scorer(spark, model: Model):
