@@ -6,6 +6,18 @@ bigrams of a unit and a template, Dice is 2 |A & B| / (|A| + |B|). Since |A & B|
 smaller set, only templates of |A| t / (2 - t) to |A| (2 - t) / t bigrams can reach t; they are
 the ones of a contiguous stretch of the templates in order of size, and only they are compared.
 
+Licences that span units, or stand amid other words, are found as windows of a text's words,
+against the templates and the full licence texts of ``license_texts``. A window has at least a
+template's number of words, or is a run of whole lines; it may start at any word. Shorter cuts
+do not count: they would leave out just the word that tells two notices apart. The best window
+of a text counts, then the best of those that share no word with it, and so on; of equal ones that
+of the template of more bigrams, then the first by name, then by place. A window goes if a unit that
+shares words with it has the same licence. ``no`` of a window is the number of its first word.
+
+A window that reaches t holds |B| t / (2 - t) bigrams of its template, and so does the text, which
+leaves few texts and templates to search; of those all windows are compared, save ones that start
+with a bigram that they repeat: without it they are the same set.
+
 Defined results: null texts are empty; units of fewer than two words match nothing; a block that
 is the whole text, and a line that is a whole block, count once, as the larger unit; of several
 templates that reach the threshold the best one counts, of equal ones the first by name; texts of
@@ -14,10 +26,16 @@ any length are read whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +79,19 @@ BLANK = re.compile(r"\n[ \t\r]*\n")
 SCHEMA = "unit string, no long, license string, dice double"
 
 
+@lru_cache
+def bodies() -> tuple[tuple[str, str], ...]:
+    """(licence, full text) of the texts that lie beside this module."""
+    found = [x for x in files(__package__).joinpath("license_texts").iterdir() if x.name.endswith(".txt")]
+    return tuple(sorted((x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in found))
+
+
+def words_of(text: str) -> list[str]:
+    return " ".join(WORD.findall(text)).lower().split()
+
+
 def bigrams(text: str) -> set[tuple[str, str]]:
-    words = " ".join(WORD.findall(text)).lower().split()
+    words = words_of(text)
     return set(zip(words, words[1:]))
 
 
@@ -90,19 +119,136 @@ class Matcher:
         return (found[0][1], -found[0][0]) if found else None
 
 
-def scan(docs: DataFrame, templates=tuple(TEMPLATES), threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, no, license, dice) of every unit that reaches the threshold."""
+class _Text:
+    """A text's bigrams by place: their numbers, and where each occurred before and occurs next."""
+
+    def __init__(self, text: str):
+        counts = [len(WORD.findall(x)) for x in text.split("\n")]
+        words = words_of(text)
+        self.numbers: dict[tuple[str, str], int] = {}
+        ids = [self.numbers.setdefault(g, len(self.numbers)) for g in zip(words, words[1:])]
+        self.ids, self.n = np.array(ids, np.int64), len(ids)
+        self.before, self.after = np.full(self.n, -1, np.int64), np.full(self.n, self.n, np.int64)
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        self.before[order[1:][same]] = order[:-1][same]
+        self.after[order[:-1][same]] = order[1:][same]
+        borders = np.cumsum([0, *counts])
+        #: whether a line starts with a bigram's first word, or ends with its second
+        self.starts, self.ends = (np.isin(np.arange(self.n) + k, borders) for k in (0, 2))
+
+
+class Windows:
+    """Search for the windows of a text that reach the threshold."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        self.threshold, self.templates, self.holders = threshold, [], {}
+        for name, text in templates:
+            if grams := bigrams(text):
+                for g in grams:
+                    self.holders.setdefault(g, []).append(len(self.templates))
+                self.templates.append((name, grams, len(words_of(text)) - 1))
+        self.grams = set(self.holders)
+        self.least = [max(1, math.ceil(len(g) * threshold / (2 - threshold) - 1e-9)) for _, g, _ in self.templates]
+
+    def best(self, text: str, grams: set) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, licence, dice) of the windows that count; grams are those of text."""
+        held = Counter()
+        for g in grams & self.grams:
+            held.update(self.holders[g])
+        some = sorted(k for k, c in held.items() if c >= self.least[k])
+        if not some:
+            return []
+        x = _Text(text)
+        hits = {k: np.isin(x.ids, [x.numbers[g] for g in self.templates[k][1] if g in x.numbers]) for k in some}
+        heap = []
+
+        def offer(k: int, i: int, last: int) -> None:
+            dice, j = self._from(x, hits[k], k, i, last)
+            if dice >= self.threshold:
+                heapq.heappush(heap, (-dice, -len(self.templates[k][1]), self.templates[k][0], i, j, k))
+
+        for k in some:
+            for i in self._starts(x, hits[k], k).tolist():
+                offer(k, i, x.n - 1)
+        taken: list[tuple[int, int, str, float]] = []
+        while heap:
+            dice, _, name, i, j, k = heapq.heappop(heap)
+            at = bisect_right(taken, (i, math.inf))
+            if at and taken[at - 1][1] >= i:
+                continue
+            if at < len(taken) and taken[at][0] <= j + 1:
+                if taken[at][0] - 2 >= i:
+                    offer(k, i, taken[at][0] - 2)
+            else:
+                insort(taken, (i, j + 1, name, -dice))
+        return taken
+
+    def _starts(self, x: _Text, hit: np.ndarray, k: int) -> np.ndarray:
+        """Where windows of template k may start: at lines, at its bigrams, and where a window of
+        its own length reaches the threshold; if enough of its bigrams follow."""
+        _, grams, size = self.templates[k]
+        start = x.starts | hit
+        if x.n >= size:
+            place = np.arange(x.n)
+
+            def distinct(some: np.ndarray) -> np.ndarray:
+                # a bigram counts for the windows that reach its place, but not its last one before
+                lo = np.maximum(np.maximum(x.before + 1, place - size + 1), 0)[some]
+                return np.cumsum(np.bincount(lo, minlength=x.n + 1) - np.bincount(place[some] + 1, minlength=x.n + 1))[: x.n - size + 1]
+
+            start[: x.n - size + 1] |= 2.0 * distinct(hit) / (distinct(np.ones(x.n, bool)) + len(grams)) >= self.threshold
+        start &= hit.sum() - (np.cumsum(hit) - hit) >= self.least[k]
+        return np.flatnonzero(start)
+
+    def _from(self, x: _Text, hit: np.ndarray, k: int, i: int, last: int) -> tuple[float, int]:
+        """(dice, last bigram) of the best window that starts with bigram i and ends by bigram last."""
+        _, grams, size = self.templates[k]
+        most = len(grams) * (2 - self.threshold) / self.threshold + 1e-9
+        last, reach = min(last, max(int(x.after[i]) - 1, i + size - 1)), size + size // 2 + 1
+        while True:
+            stop = min(last, i + reach)
+            new = x.before[i : stop + 1] < i
+            a = np.cumsum(new)
+            if stop == last or a[-1] > most:
+                break
+            reach *= 2
+        dice = 2.0 * np.cumsum(new & hit[i : stop + 1]) / (a + len(grams))
+        short = slice(0, size - 1)
+        dice[short] *= x.ends[i : stop + 1][short] & x.starts[i]
+        at = int(np.argmax(dice))
+        return float(dice[at]), i + at
+
+
+def _spans(text: str, found: list[tuple[str, int, str, float]]) -> list[tuple[int, int, str]]:
+    """(first word, one after the last, licence) of the units found in text."""
+    parts = {"text": [text], "block": BLANK.split(text), "line": text.split("\n")}
+    ends = {kind: np.cumsum([0, *(len(WORD.findall(p)) for p in parts[kind])]) for kind in {x[0] for x in found}}
+    return [(int(ends[kind][no]), int(ends[kind][no + 1]), name) for kind, no, name, _ in found]
+
+
+def scan(docs: DataFrame, templates=tuple(TEMPLATES), threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", texts=None) -> DataFrame:
+    """(id, unit, no, license, dice) of every unit and window that reaches the threshold; ``texts``
+    are the templates that only windows are compared with, ``bodies()`` by default."""
+    texts = bodies() if texts is None else texts
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(list(templates), threshold)
+        matcher, windows = Matcher(list(templates), threshold), Windows([*templates, *texts], threshold)
         for b in batches:
             at, out = [], []
             for i, text in enumerate(b.column("text").to_pylist()):
+                found, whole = [], None
                 for kind, no, part in units(text):
-                    if got := matcher.best(bigrams(part)):
-                        at.append(i)
-                        out.append((kind, no, *got))
+                    grams = bigrams(part)
+                    whole = grams if whole is None else whole
+                    if got := matcher.best(grams):
+                        found.append((kind, no, *got))
+                if more := windows.best(text, whole):
+                    spans = _spans(text, found)
+                    found += [("window", lo, name, dice) for lo, hi, name, dice in more if not any(a <= hi and lo < b and name == n for a, b, n in spans)]
+                at += [i] * len(found)
+                out += found
             kind, no, name, dice = zip(*out) if out else ((), (), (), ())
             ids = b.column("id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kind, pa.string()), pa.array(no, pa.int64()), pa.array(name, pa.string()), pa.array(dice, pa.float64())], names=["id", "unit", "no", "license", "dice"])
