@@ -17,6 +17,12 @@ leaves one half of a line untouched, so lines that share neither half (at its le
 with another distinct line have no neighbour, and only the others emit, and only for characters of the half that may differ. That test loses nothing:
 for each line it compares the halves it would have at its own length and at one less.
 
+Bounds of more than 1, for lines of some length, are a parameter (``bounds``; the shorter line of a
+pair decides). Then a line is split into bound + 1 segments, one of which ``bound`` edits leave
+whole, at a place that they shift by few characters: lines that share such a segment are paired
+(those of hot segments in salted blocks) and verified by edit distance. No pair within the
+bounds is lost; the pairs of lines that share a segment grow with the square of their number.
+
 Defined results: null texts count as empty and null ids sort first; rows that agree in id and
 text count as one occurrence, and each is returned; texts of any length are taken whole; an empty table gives an
 empty result. A document keeps its row, if need be with an empty text.
@@ -36,6 +42,9 @@ from .common import materialize, small, table, text_of
 MIN_CHARS = 20
 B = 0x9E3779B97F4A7C15 | 1
 B_INVERSE = pow(B, -1, 1 << 64)
+#: (least characters, edit distance), in order of length
+BOUNDS = ((20, 1), (40, 2))
+BLOCK = 64
 VARIANTS = "line long, key long, whole boolean"
 STEP = 1 << 16
 #: Rows of up to this many candidates' places, some 50 bytes each, are broadcast.
@@ -59,6 +68,25 @@ def _halves(line, length) -> list[F.Column]:
     return out
 
 
+def _segments(line, length, bounds: tuple[tuple[int, int], ...]) -> tuple[F.Column, F.Column]:
+    """(own, probe): keys of a line's segments, and of the parts that may be segments of lines of
+    the same or a lesser length, as far as the edits before and after a part can shift it."""
+    own = probe = none = F.expr("cast(array() as array<bigint>)")
+    for gap in range(max(k for _, k in bounds) + 1):
+        n, at_gap = (length - gap).cast("int"), none
+        for least, k in bounds:
+            mine, others = [], []
+            for i in range(k + 1 if gap <= k else 0):
+                start, stop = (F.floor(n * x / (k + 1)).cast("int") for x in (i, i + 1))
+                for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1):
+                    key = F.xxhash64(n, F.lit(i), F.substring(line, start + (shift + 1), stop - start))
+                    (others if gap or shift else mine).append(key)
+            at_gap = F.when(n >= least, F.array(*others) if others else none).otherwise(at_gap)
+            own = own if gap else F.when(n >= least, F.array(*mine)).otherwise(own)
+        probe = F.concat(probe, at_gap) if gap else at_gap
+    return own, probe
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -122,6 +150,47 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(keep, pa.bool_()))], names=["line"])
 
 
+def _texts(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(line, text) of the lines of some, (line, first, ...), from where they first occurred."""
+    wanted = some.select("line", F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
+    spots = materialize(wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "_no")).alias("_spots"), F.count(F.lit(1)).alias("_n")), "spots")
+    # rows of many candidates are few: what is broadcast is bounded by candidates, not documents
+    spots = small(spots, BROADCAST_ROWS) if (spots.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_ROWS else spots
+    held = docs.select(F.col("row").alias("_row"), F.split(text_of(F.col("text")), "\n").alias("_lines")).join(spots, "_row")
+    texts = held.select(F.explode("_spots").alias("s"), "_lines").select(F.col("s.line").alias("line"), F.element_at("_lines", F.col("s._no") + 1).alias("text"))
+    return materialize(texts.dropDuplicates(["line"]), "texts")
+
+
+def far_lines(docs: DataFrame, bounds: tuple[tuple[int, int], ...]) -> tuple[DataFrame, DataFrame]:
+    """As repeated_lines, with a bound for each length."""
+    long_ones = lines_of(docs).where(F.length("line") >= bounds[0][0])
+    own, probe = _segments(F.col("line"), F.length("line"), bounds)
+    each = long_ones.select(F.xxhash64("line").alias("line"), F.struct("doc_id", "row", "no").alias("at"), own.alias("own"), probe.alias("probe"))
+    known = each.groupBy("line").agg(F.min(F.struct("at", "own", "probe")).alias("x"))
+    known = materialize(known.select("line", F.col("x.at").alias("first"), F.col("x.own").alias("own"), F.col("x.probe").alias("probe")), "lines")
+    keys = known.select("line", F.explode("own").alias("key"), F.lit(True).alias("own"))
+    keys = keys.union(known.select("line", F.explode("probe").alias("key"), F.lit(False).alias("own")))
+    # a key matters if it holds two lines, one of them with its own segment
+    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
+    shared = shared.where("a <> b and own").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    some = materialize(keys.join(shared, "key"), "candidates")
+    left = some.where("own").select("key", F.col("line").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = some.select("key", F.col("line").alias("b"), F.pmod(F.xxhash64("line"), "blocks").cast("int").alias("block"))
+    pairs = left.join(right, ["key", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    wanted = materialize(known.select("line", "first").join(wanted, "line"), "wanted")
+    texts = _texts(docs, wanted).join(wanted, "line")
+    side = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"{c}_text"), F.col("first").alias(f"{c}_first"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shorter, bound = F.least(F.length("a_text"), F.length("b_text")), F.lit(-1)
+    for least, k in bounds:
+        bound = F.when(shorter >= least, k).otherwise(bound)
+    both = both.where(F.levenshtein("a_text", "b_text", max(k for _, k in bounds)).between(0, bound))
+    near = both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
+    return known.select("line", "first"), materialize(near, "near")
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """((line, first) of every distinct line of at least min_chars, (line, near): lines that go
     for an earlier neighbour). ``line`` is a line's hash, ``first`` where it first occurred."""
@@ -140,14 +209,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     shared = shared.where("a <> b and own").select("key")
     some = half.join(shared, "key").groupBy("line").agg(F.max(F.col("side") == 1).alias("left"), F.max(F.col("side") == 0).alias("right"))
     some = materialize(some.join(known.select("line", "first"), "line"), "candidates")
-    # their texts, from where they first occurred
-    wanted = some.select("line", F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
-    spots = materialize(wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "_no")).alias("_spots"), F.count(F.lit(1)).alias("_n")), "spots")
-    # rows of many candidates are few: what is broadcast is bounded by candidates, not documents
-    spots = small(spots, BROADCAST_ROWS) if (spots.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_ROWS else spots
-    held = docs.select(F.col("row").alias("_row"), F.split(text_of(F.col("text")), "\n").alias("_lines")).join(spots, "_row")
-    texts = held.select(F.explode("_spots").alias("s"), "_lines").select(F.col("s.line").alias("line"), F.element_at("_lines", F.col("s._no") + 1).alias("text"))
-    texts = materialize(texts.dropDuplicates(["line"]), "texts")
+    texts = _texts(docs, some)
     emitted = texts.join(some.select("line", "left", "right"), "line").select("line", "text", "left", "right")
     # one shuffle serves both the sums and the rows that they choose
     emitted = emitted.mapInArrow(variants, VARIANTS).repartition("key")
@@ -165,10 +227,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     return known.select("line", "first"), materialize(near_lines, "near")
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_lines, n_dropped, text) with the lines that stay, for each row of docs."""
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", bounds: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
+    """(row, doc_id, n_lines, n_dropped, text) with the lines that stay, for each row of docs; with
+    ``bounds``, their first length is the least number of characters."""
     rows = docs.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first, near = repeated_lines(rows, min_chars)
+    min_chars = bounds[0][0] if bounds else min_chars
+    first, near = far_lines(rows, bounds) if bounds else repeated_lines(rows, min_chars)
     # what goes: later occurrences, and every occurrence of a line with an earlier neighbour
     occurrences = lines_of(rows).where(F.length("line") >= min_chars).select("row", "no", "doc_id", F.xxhash64("line").alias("line"))
     marks = first.join(near.withColumn("near", F.lit(True)), "line", "left")
@@ -194,11 +258,18 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_line_dedup_bounds(spark, sf_dir: str) -> DataFrame:
+    """op6_line_dedup with the bounds of the pipeline."""
+    docs = with_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(docs, bounds=BOUNDS)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def dedup_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go, and with them documents of which nothing but blank
     lines is left; documents that lose no line stay as they are. n_chars follows the text."""
     marked = with_rows(docs)
-    found = dedup(marked).where("n_dropped > 0").select(F.col("row").alias("_r"), F.col("text").alias("_kept")).dropDuplicates(["_r"])
+    found = dedup(marked, bounds=BOUNDS).where("n_dropped > 0").select(F.col("row").alias("_r"), F.col("text").alias("_kept")).dropDuplicates(["_r"])
     out = marked.join(found, F.col("_row") == F.col("_r"), "left")
     changed = F.col("_kept").isNotNull()
     out = out.where(~changed | F.regexp_like("_kept", F.lit(r"\S")))

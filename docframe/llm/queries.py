@@ -5,7 +5,7 @@ from __future__ import annotations
 from .ann import op5_ann
 from .licenses import op8_licenses
 from .licenses import oracle as licenses_sql
-from .line_dedup import op6_line_dedup
+from .line_dedup import op6_line_dedup, op6_line_dedup_bounds
 from .mixing import op2_mixing
 from .near_dedup import op10_near_dedup
 from .packing import op4_packing
@@ -14,7 +14,7 @@ from .topk import op9_topk
 from .toxicity import op1_toxicity
 from .warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_secrets, op4_packing, op5_ann, op6_line_dedup, op7_warc, op8_licenses, op9_topk, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_secrets, op4_packing, op5_ann, op6_line_dedup, op6_line_dedup_bounds, op7_warc, op8_licenses, op9_topk, op10_near_dedup)}
 
 #: WARC: the fixed columns of a capture; url_key and stamp are plain functions of the page.
 WARC_SQL = r"""

@@ -93,3 +93,52 @@ def test_within_one_against_the_definition():
         a = "".join(rng.choice("aé") for _ in range(rng.randint(0, 6)))
         b = "".join(rng.choice("aé") for _ in range(rng.randint(0, 6)))
         assert ld.within_one(a, b) == within_one(a, b), (a, b)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def bounds_brute_force(rows, bounds):
+    """rows of (doc_id, text) with distinct ids from 0 on: id to kept text."""
+    least, first = bounds[0][0], {}
+    for i, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
+            if len(line) >= least:
+                first.setdefault(line, (i, k))
+    lines = sorted(first, key=first.get)
+    bound = lambda a, b: max(k for n, k in bounds if min(len(a), len(b)) >= n)
+    near = {b for n, b in enumerate(lines) if any(abs(len(a) - len(b)) <= 3 and distance(a, b) <= bound(a, b) for a in lines[:n])}
+    keep = lambda i, k, x: len(x) < least or (first[x] == (i, k) and x not in near)
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if keep(i, k, x)) for i, t in rows}
+
+
+@pytest.mark.parametrize("bounds", [((20, 1), (24, 2)), ((6, 1), (12, 2), (22, 3))])
+def test_bounds_against_brute_force(spark, monkeypatch, bounds):
+    monkeypatch.setattr(ld, "BLOCK", 3)
+    rng = random.Random(len(bounds))
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([6, 12, 20, 22, 23, 24, 25, 31]))) for _ in range(20)] + ["ab" * 12]
+    rows = []
+    for i in range(50):
+        lines = []
+        for _ in range(rng.randint(0, 4)):
+            x = rng.choice(base)
+            for _ in range(rng.choice([0, 1, 2, 2, 3, 4])):
+                at = rng.randrange(len(x))
+                x = x[:at] + rng.choice(["", "z" + x[at], rng.choice("az")]) + x[at + 1 :]
+            lines.append(x)
+        rows.append((i, "\n".join(lines)))
+    docs = ld.with_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in ld.dedup(docs, bounds=bounds).collect()}
+    assert got == bounds_brute_force(rows, bounds)
+
+
+def test_the_stage_drops_a_line_with_two_edits(spark):
+    rows = [(1, "Ening thheeaan. That ha thnt to of of nd inntble."), (2, "Ening thheeaan. That ha thnt in of of nd inntble.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in ld.dedup_documents(spark, docs, "").collect()] == [1]
