@@ -11,17 +11,20 @@ best fit, in groups of MERGE, in rounds until one group is left.
 Tokens are never moved: only pieces (document, start, length, checksum) are, and the merge of
 leftovers cuts nothing, so checksums stay.
 
-Tokens. The vocabulary's pre-tokeniser never joins characters across white space, so a text's
-ids are those of its white-space-separated words in turn; each distinct word is encoded once per
-worker process and kept in a cache of bounded size. Texts with a special token's string or with separator
-control characters, where that rule needs care, are encoded whole.
-
-Defined results: null texts are empty and give the end id alone; texts of any length are packed
+Tokens. Where a vocabulary's pre-tokeniser never joins characters across white space (which is
+read from its file), a text's ids are those of its white-space-separated words in turn. Plain
+words are cut into pieces by the file's own pattern and each distinct piece goes to its model
+once; other words go through the whole tokenizer. What is known stays with the worker process, up
+to CACHED_BYTES. Texts with a special token's string or with separator control characters, where
+that rule needs care, and texts for any other kind of vocabulary are encoded whole.
+
+Defined results: null texts are empty and give the end id alone; ids of any type, null ones too, are kept; texts of any length are packed
 whole; repeated rows give pieces of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -40,71 +43,75 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_of
 
 CAPACITY, OPEN, MERGE, END_ID = 2048, 64, 64, 1
-CACHED_WORDS = 500_000
-#: Fixed value: the pattern by which the vocabulary's pre-tokeniser finds pieces.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BEYOND = "\u0250"
+#: What a worker process keeps of known words, and what each takes besides its characters.
+CACHED_BYTES, WORD_BYTES = 64 << 20, 130
 CARE = re.compile(r"[\x1c-\x1f]|<\|")
-PIECES = "row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part boolean"
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
-    themselves, the others for code points from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part boolean"
+
+
+def word_rule(path: str) -> tuple[str, bool] | None:
+    """(pattern of pieces, whether lower case) of a tokenizers file by which words may be encoded
+    one by one; None for files of another build."""
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = lambda x, inner: x.get(inner, [x]) if x else []
+    cuts = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    norms = [n["type"] if n["type"] != "Replace" else (n["pattern"].get("Regex"), n["content"]) for n in parts(spec.get("normalizer"), "normalizers")]
+    if not cuts or cuts[0]["type"] != "Split" or not cuts[0].get("invert") or cuts[0].get("behavior") != "Removed":
+        return None
+    if any(c["type"] != "ByteLevel" or c.get("use_regex", True) or c.get("add_prefix_space", True) for c in cuts[1:]):
+        return None
+    pattern = cuts[0]["pattern"].get("Regex")
+    if pattern is None or any(n not in ("NFC", "Lowercase", ("\\s+", " ")) for n in norms):
+        return None
+    white = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not CARE.match(c))
+    return None if regex.search(pattern, white) else (pattern, "Lowercase" in norms)
 
 
 class Words(dict):
-    """Words to the bytes of their ids; a new word is encoded when it is first looked up.
-
-    The word is normalised and cut by the vocabulary's own rules and each piece goes to its BPE
-    model, which is several times cheaper than the whole machinery for each rare word. Words with
-    a character beyond the Latin blocks, where lower case or composition may need more than that
-    character, go through the whole tokenizer.
-    """
+    """Words to the bytes of their ids; a new word is encoded when it is first looked up."""
 
-    def __init__(self, whole):
+    def __init__(self, whole, pattern: str, lower: bool):
         import regex
 
-        self.whole, self.model, self.pieces = whole, whole.model, {}
-        self.cut = regex.compile(SPLIT).findall
-        self.letters = _byte_letters()
+        self.whole, self.model, self.lower, self.size = whole, whole.model, lower, 0
+        self.cut = regex.compile(pattern).findall
 
     def __missing__(self, word: str) -> bytes:
-        if not word.isascii() and max(word) >= BEYOND:
-            self[word] = out = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            return out
-        low = word.lower()
-        out = b""
-        for piece in [low] if low.isascii() and low.isalpha() else self.cut(low):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-                self.pieces[piece] = ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            out += ids
+        if word.isascii() and word.isprintable():
+            low = word.lower() if self.lower else word
+            pieces = [low] if low.isalpha() else self.cut(low)
+            if pieces == [word]:
+                out = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            else:
+                out = b"".join([self[p] for p in pieces])
+        else:
+            out = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        self.size += WORD_BYTES + len(word) + len(out)
         self[word] = out
         return out
 
 
 class WordTokenizer:
-    """ids of texts by a tokenizers file whose pre-tokeniser splits at white space."""
+    """ids of texts by a tokenizers file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words = Words(self.whole)
-        self.end = np.array([END_ID], "<u4").tobytes()
+        rule = word_rule(path)
+        self.words = Words(self.whole, *rule) if rule else None
+        self.end = array("I", [END_ID]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids and the end id."""
-        if CARE.search(text):
+        if self.words is None or CARE.search(text):
             return np.array([*self.whole.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
-        if len(self.words) > CACHED_WORDS:
+        if self.words.size > CACHED_BYTES:
             self.words.clear()
-            self.words.pieces.clear()
+            self.words.size = 0
         return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())) + self.end, "<u4")
 
 
@@ -165,8 +172,11 @@ class Packer:
         return next(iter(self.windows.values()), None)
 
 
+COLUMNS = ("row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part")
+
+
 def _rows(windows: list[list], first: int, part: bool) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part")}
+    out: dict[str, list] = {k: [] for k in COLUMNS}
     for k, pieces in enumerate(windows):
         offset = 0
         for row, start, ids, total in pieces:
@@ -191,6 +201,7 @@ def pack_tokens(tokenizer_path: str, capacity: int = CAPACITY, limit: int = OPEN
             return pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in got.items()})
 
         for b in batches:
+            types["row"] = b.schema.field("row").type
             rows = b.column("row").to_pylist()
             for lo in range(0, len(rows), 256):
                 for row, text in zip(rows[lo : lo + 256], b.column("text").slice(lo, 256).to_pylist()):
@@ -199,7 +210,8 @@ def pack_tokens(tokenizer_path: str, capacity: int = CAPACITY, limit: int = OPEN
                     yield batch(packer.closed)
                     packer.closed = []
         left = packer.end()
-        yield batch(packer.closed)
+        if packer.closed:
+            yield batch(packer.closed)
         if left:
             yield batch([left], True)
 
@@ -228,16 +240,17 @@ def _merge(capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, limit: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), text_of(F.col(text_col)).alias("text"))
-    pieces = materialize(rows.mapInArrow(pack_tokens(tokenizer_path, capacity, limit), PIECES), "pieces")
+    """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset); ids keep their type."""
+    rows = docs.select(F.col(id_col).alias("row"), text_of(F.col(text_col)).alias("text"))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, {PIECES}"
+    pieces = materialize(rows.mapInArrow(pack_tokens(tokenizer_path, capacity, limit), kind), "pieces")
     left, done = pieces.where("part"), pieces.where("not part")
     tasks = left.select("sequence_id").distinct().count()
     width = MERGE
     while tasks > 1:
         # sequence ids begin with the task's number, so its neighbours share a group
         group = F.shiftright("sequence_id", 40) / F.lit(width)
-        left = left.groupBy(F.floor(group).alias("_group")).applyInPandas(_merge(capacity), PIECES)
+        left = left.groupBy(F.floor(group).alias("_group")).applyInPandas(_merge(capacity), kind)
         left = materialize(left, "left")
         tasks, width = -(-tasks // MERGE), width * MERGE
     out = done.unionByName(left)
