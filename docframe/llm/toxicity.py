@@ -14,7 +14,7 @@ Training. Windows of sentences inherit the label of their document; since only a
 a toxic document are toxic, the SVM is refitted a few times on those windows that score highest
 (multiple instances), and on windows with inserted letters and gaps made from them. At most
 ``max_docs`` labelled documents of each label are used, those with the smallest hashes of
-doc_id; that bound makes collecting them safe. Scores are calibrated to the share of label 1 among
+doc_id, of at most ``max_chars`` characters each; these bounds make collecting them safe. Scores are calibrated to the share of label 1 among
 all labels, so that 0.5 is where either label is as likely.
 
 Scoring. sum_j b_j k(x, landmark_j) is linear in phi, so all landmarks fold into one weight for
@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +46,8 @@ from .common import table, text_of
 SYMBOLS, ORDER, SPAN, DECAY, WINDOW = 32, 4, 7, 0.6, 8
 GAPS = [(0, *g) for g in combinations(range(1, SPAN), ORDER - 1)]
 SEP = "\0" * (SPAN + WINDOW)
-CHUNK = 1 << 20
+#: Characters that are scored together, and texts that are Python strings at one time.
+CHUNK, SLICE = 1 << 20, 500
 #: Landmarks that may share four letters, and the least z-score of a landmark's contrast.
 PER_CORE, LEAST_CONTRAST = 3, 1.0
 
@@ -88,7 +89,8 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def position_scores(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each position the weighted subsequences that begin there."""
+    """For each position the weighted subsequences that begin there; weights has one entry for
+    each subsequence, without the decay of its span."""
     n = len(sym) - SPAN + 1
     out = np.zeros(max(n, 0), np.float32)
     step = 1 << 15
@@ -98,8 +100,12 @@ def position_scores(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
         a, b, c = part << 15, part << 10, part << 5
         m, acc = hi - lo, np.zeros(hi - lo, np.float32)
         head = a[:m]
-        for _, i, j, k in GAPS:
-            acc += weights[k][head + b[i : i + m] + c[j : j + m] + part[k : k + m]]
+        for k in range(ORDER - 1, SPAN):
+            ends, of_span = head + part[k : k + m], np.zeros(m, np.float32)
+            for _, i, j, last in GAPS:
+                if last == k:
+                    of_span += weights.take(ends + b[i : i + m] + c[j : j + m])
+            acc += of_span * np.float32(DECAY ** (k + 1))
         out[lo:hi] = acc
     return out
 
@@ -113,12 +119,7 @@ def window_scores(sym: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def spread(w: np.ndarray) -> list[np.ndarray]:
-    """The weight of each subsequence, by span: index k has DECAY ** (k + 1) in it."""
-    return [(w * DECAY ** (k + 1)).astype(np.float32) for k in range(SPAN)]
-
-
-def best_windows(texts: list[str], weights: list[np.ndarray]) -> np.ndarray:
+def best_windows(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """The highest window of each text, in chunks of bounded size."""
     out, lo = np.zeros(len(texts)), 0
     while lo < len(texts):
@@ -157,7 +158,7 @@ class Model:
     landmarks: list[str]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        raw = best_windows(texts, spread(self.weights))
+        raw = best_windows(texts, self.weights)
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.bias, -40, 40)))
 
 
@@ -277,7 +278,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, landma
         w[keys] = (v @ fold)[:-1]
         return w
 
-    def top(s: np.ndarray, weights: list[np.ndarray], count: int) -> list[np.ndarray]:
+    def top(s: np.ndarray, weights: np.ndarray, count: int) -> list[np.ndarray]:
         score = window_scores(s, weights)
         out = []
         for _ in range(count):
@@ -298,15 +299,14 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, landma
     rate = (has + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
     w = np.zeros(SYMBOLS**ORDER, np.float32)
     w[keys] = (np.log(rate[1] / rate[0]) @ phi)[:-1]
-    weights = spread(w)
     for _ in range(rounds):
         windows, sign = [], []
         for i, s in enumerate(docs):
             if y[i]:
-                some = top(s, weights, 2)[: 1 + (i % 2)]
+                some = top(s, w, 2)[: 1 + (i % 2)]
                 some += [_widen(x, rng) for x in some[:1]]
             else:
-                some = top(s, weights, 3)
+                some = top(s, w, 3)
                 if len(s) > 2 * SPAN + WINDOW:
                     at = int(rng.integers(0, len(s) - SPAN - WINDOW))
                     some.append(s[at : at + WINDOW + SPAN - 1])
@@ -314,8 +314,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, landma
             sign += [1 if y[i] else -1] * len(some)
         v, bias = _svm(features(windows), np.array(sign, float), cost=1000.0)
         w = folded(v)
-        weights = spread(w)
-    raw = best_windows(list(texts), weights)
+    raw = best_windows(list(texts), w)
     slope, bias = _platt(raw, y, float(y.mean()) if share is None else share)
     return Model(w, slope, bias, [_spell(c, n) for c, n in marks])
 
@@ -340,29 +339,30 @@ def _platt(raw: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * mean)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> tuple[DataFrame, float]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_chars: int = 100_000, held_out=None) -> tuple[DataFrame, float]:
     """((id, text, toxic) of at most max_docs labelled documents of each label, the share of
     label 1 among all labels).
 
-    The bound is taken on ids alone, so that only the chosen texts move. Rows without an id or
-    with a label other than 0 and 1 take no part.
+    The bound is taken on distinct ids alone, so that only the chosen texts move; of the rows of
+    one id the least text counts, and texts beyond max_chars are not fitted on. Rows without an
+    id or with a label other than 0 and 1 take no part.
     """
     rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     rows = rows.where(~held_out(F.col("_id"))) if held_out else rows
     some = None
     for y in (0, 1):
-        part = rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+        part = rows.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
         some = part if some is None else some.unionByName(part)
     share = rows.agg(F.avg("_y").alias("share")).first()["share"] or 0.0
-    found = docs.select(F.col("doc_id").alias("_id"), text_of(F.col("text")).alias("text"))
+    found = docs.select(F.col("doc_id").alias("_id"), text_of(F.col("text")).alias("text")).where(F.length("text") <= max_chars)
     # at most 2 * max_docs short rows
-    return found.join(F.broadcast(some), "_id").select("_id", "text", F.col("_y").alias("toxic")), share
+    return found.join(F.broadcast(some), "_id").groupBy("_id", F.col("_y").alias("toxic")).agg(F.min("text").alias("text")), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, held_out=None) -> Model:
-    chosen, share = training_rows(docs, labels, max_docs, held_out)
-    rows = chosen.collect()
-    rows.sort(key=lambda r: (r["_id"], r["text"], r["toxic"]))
+    chosen, share = training_rows(docs, labels, max_docs, held_out=held_out)
+    rows = chosen.collect()  # 2 * max_docs texts of at most max_chars
+    rows.sort(key=lambda r: (r["_id"], r["toxic"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
@@ -370,13 +370,12 @@ def scorer(spark, model: Model):
     """A column function: text to score."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
-        weights = spread(own.weights)
         for texts in batches:
-            raw = best_windows(texts.fillna("").tolist(), weights)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(own.slope * raw + own.bias, -40, 40))))
+            parts = [own.score(texts.slice(lo, SLICE).to_pylist()) for lo in range(0, len(texts), SLICE)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return toxicity
 

@@ -43,7 +43,7 @@ def test_folded_weights_equal_the_kernel_expansion():
     idx, val = tx.subsequences(tx.encode(["blockhead"])[0])
     np.add.at(w, idx, val)
     sym, _ = tx.encode(["a bl ockhead of the river"])
-    windows = tx.window_scores(sym, tx.spread(w))
+    windows = tx.window_scores(sym, w)
     landmark = dict()
     for i, v in zip(idx, val):
         landmark[i] = landmark.get(i, 0) + v
@@ -97,3 +97,27 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert tx.op1_toxicity(spark, str(tmp_path)).collect() == []
+
+
+def test_held_out_labels_are_never_seen(spark, tmp_path):
+    import zlib
+
+    bad, good = sentences(60, ["blockhead"], 7), sentences(60, None, 8)
+    spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
+    spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in tx.op1_toxicity(spark, str(tmp_path)).collect()}
+    assert 5 < len(held) < 60
+    flipped = spark.createDataFrame([(i, int((i < 60) != (i in held))) for i in range(120)], "doc_id long, toxic int")
+    flipped.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"]: r["score"] for r in tx.op1_toxicity(spark, str(tmp_path)).collect()} == scores
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i}") for i in range(400)] + [(11, "x" * 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 12, int(i % 12 < 5)) for i in range(600)], "doc_id long, toxic int")
+    rows, share = tx.training_rows(docs, labels, max_docs=6, max_chars=100)
+    got = [tuple(r) for r in rows.select("_id", "toxic", "text").collect()]
+    assert len(got) == len({g[0] for g in got}) <= 11 and all(i != 11 for i, _, _ in got)
+    assert {i for i, y, _ in got if y} == set(range(5)) and share == pytest.approx(5 / 12)
+    assert all(t == min(f"text {k}" for k in range(i, 400, 10)) for i, _, t in got)
