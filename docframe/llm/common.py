@@ -39,7 +39,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -55,12 +57,27 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, share: float = 1e-3) -> DataFrame:
+    """Inner join of left with right, which has one row for each key and in ``_n`` the number of
+    its rows in left. Keys of more than ``share`` of all rows, so less than 1 / share keys, are
+    broadcast; only the others are shuffled, of which none is hot."""
+    total = right.agg(F.sum("_n")).first()[0] or 0
+    hot = (F.col("_n") > share * total) & F.col(key).isNotNull()
+    large, rest = F.broadcast(right.where(hot)), right.where(~hot)
+    return left.join(large, key).unionByName(left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(rest, key)).drop("_n")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, whatever file system that is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for df, which nothing reads any more."""
+    remove(df.sparkSession, df._folder.rsplit("/", 1)[0])
+
+
 def text_of(column) -> F.Column:
     """Null texts count as empty ones."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -7,19 +9,26 @@ import pytest
 from docframe.llm import near_dedup as nd
 
 
-def weights_of(texts):
-    shingle = nd.Shingler()
-    parts = {i: shingle(t or "") for i, t in texts.items()}
-    df, n = np.zeros(1 << nd.CLASS_BITS, np.int64), sum(len(p[1]) > 0 for p in parts.values())
-    for _, h, _ in parts.values():
-        np.add.at(df, nd.classes_of(h), 1)
-    idf = nd.idf_of(df, n)
-    return {i: (h, np.round(c * idf[nd.classes_of(h)], 2).astype(np.float32)) for i, (_, h, c) in parts.items()}
+def weights_of(texts, share=nd.FLOOR):
+    """id to {shingle: weight}, by words and dictionaries alone."""
+    sets, df = {}, Counter()
+    for i, t in texts.items():
+        words = re.findall(r"\w+", (t or "").lower())
+        sets[i] = Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+        df.update(sets[i].keys())
+    n = sum(len(x) > 0 for x in sets.values())
+    floor = max(1, int(share * n))
+    return {i: {s: c * (1 + math.log10(n / max(df[s], floor))) for s, c in x.items()} for i, x in sets.items()}
 
 
-def brute_force(texts):
+def jaccard(a, b):
+    low = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    return low / (sum(a.values()) + sum(b.values()) - low)
+
+
+def brute_force(texts, share=nd.FLOOR):
     """id to the least id that links of at least 0.8 reach."""
-    w, at = weights_of(texts), {i: i for i in texts}
+    w, at = weights_of(texts, share), {i: i for i in texts}
 
     def root(i):
         while at[i] != i:
@@ -29,7 +38,7 @@ def brute_force(texts):
     ids = sorted(texts)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if len(w[a][0]) and len(w[b][0]) and nd.similarity(*w[a], *w[b]) >= nd.THRESHOLD:
+            if w[a] and w[b] and jaccard(w[a], w[b]) >= nd.THRESHOLD - 1e-9:
                 x, y = root(a), root(b)
                 at[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
@@ -76,22 +85,57 @@ def test_samples_agree_as_often_as_similar():
     assert got == pytest.approx(want, abs=0.09)
 
 
+@pytest.mark.parametrize("share", [0.02, 0.2])
+def test_frequencies_are_exact_above_the_floor(spark, monkeypatch, share):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 2000)
+    texts = corpus(5) | {900: "", 901: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    stored = nd.shingled(docs.selectExpr("doc_id", "doc_id AS th", "coalesce(text, '') AS text"))
+    got = nd.idf_of(stored, share)
+    want, shingle = weights_of(texts, share), nd.Shingler()
+    for i, t in texts.items():
+        _, h, c = shingle(t or "")
+        w = got.weights(h, c.astype("<u4").tobytes())
+        assert sorted(w.tolist()) == pytest.approx(sorted(want[i].values()), rel=1e-5)
+    assert 0 < len(got.keys) < len({s for x in want.values() for s in x})
+
+
+@pytest.mark.parametrize("least_equal", [0.0, nd.LEAST_EQUAL])
+def test_floor_and_exact_way(spark, least_equal):
+    texts = corpus(6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = nd.classes(docs, least_equal=least_equal, floor=0.05).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_force(texts, 0.05)
+
+
+def test_samples_of_long_texts_agree_as_often_as_similar():
+    rng, sampler = np.random.default_rng(4), nd.Sampler(100, 4)
+    h = np.sort(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64))
+    w = np.where(rng.random(len(h)) < 0.3, 1.7, 4.0)
+    v = w * (rng.random(len(h)) < 0.85)
+    want = np.minimum(w, v).sum() / np.maximum(w, v).sum()
+    got = (sampler.samples(h, w) == sampler.samples(h[v > 0], v[v > 0])).mean()
+    assert got == pytest.approx(want, abs=0.06)
+
+
 def test_blocks_give_the_links_of_all_pairs():
     import pandas as pd
 
     rng = random.Random(1)
     texts = corpus(4, groups=1, spread=30)
-    w, sampler = weights_of(texts), nd.Sampler()
+    sampler, shingle = nd.Sampler(), nd.Shingler()
     rows = []
-    for i, (h, v) in w.items():
-        s = sampler.samples(h, v.astype(np.float64))
-        rows.append(dict(key=int(sampler.keys(s).view(np.int64)[0]), node=i, comp=i, weight=float(v.sum()), equal=(s & np.uint64(255)).astype(np.uint8).tobytes(), keys=sampler.keys(s).view(np.int64), part=rng.randint(0, 1), lo=0, hi=0))
+    for i, t in texts.items():
+        _, h, c = shingle(t)
+        s = sampler.samples(h, c.astype(np.float64))
+        rows.append(dict(key=int(sampler.keys(s).view(np.int64)[0]), node=i, comp=i, weight=float(c.sum()), equal=(s & np.uint64(255)).astype(np.uint8).tobytes(), keys=sampler.keys(s).view(np.int64), part=rng.randint(0, 1), lo=0, hi=0, h=h, c=c))
     g = pd.DataFrame(rows)
     most = Counter(g["key"]).most_common(1)[0][0]
     g = g[g["key"] == most].reset_index(drop=True)
     i, j = nd._open_pairs(g, 0.8)
     open_pairs = {frozenset((g["node"][a], g["node"][b])) for a, b in zip(i, j)}
-    near = {frozenset((a, b)) for a in g["node"] for b in g["node"] if a < b and nd.similarity(*w[a], *w[b]) >= 0.8}
+    plain = {r.node: (r.h, r.c.astype(np.float32)) for r in g.itertuples()}
+    near = {frozenset((a, b)) for a in g["node"] for b in g["node"] if a < b and nd.similarity(*plain[a], *plain[b]) >= 0.8}
     assert near <= open_pairs and len(g) > 3
 
 
