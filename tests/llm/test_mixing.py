@@ -77,7 +77,7 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path):
 def test_stage_repeats_documents_as_taken(spark):
     rows = corpus({"a": 20, "b": 300})
     docs = spark.createDataFrame(rows, COLUMNS)
-    want = {r["doc_id"]: r["copies"] for r in mx.mix(docs).collect()}
+    want = {r["doc_id"]: r["copies"] * r["times"] for r in mx.mix(docs).collect()}
     out = mx.mix_documents(spark, docs, "")
     assert out.columns == docs.columns
     got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
@@ -88,3 +88,29 @@ def test_main_path_has_no_python(spark, tmp_path):
     spark.createDataFrame(corpus({"a": 30}), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     plan = mx.op2_mixing(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_equal_rows_are_shared_out(spark, tmp_path):
+    rows = [(7, "w " * 5, "a")] * 50_000 + [(i, "w " * (i % 40), "b") for i in range(500)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mx.op2_mixing(spark, str(tmp_path)).groupBy("doc_id", "size", "target", "taken").count().collect()
+    equal = [r for r in got if r["doc_id"] == 7 and r["size"] == 5]
+    assert sum(r["count"] for r in got) == len(rows) and sum(r["count"] for r in equal) >= 50_000
+    assert {r["taken"] % 5 for r in equal} == {0} and max(r["taken"] for r in equal) - min(r["taken"] for r in equal) <= 10
+    assert abs(sum(r["taken"] * r["count"] for r in equal) - equal[0]["target"]) <= 45
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = mx.mix_documents(spark, docs, "").where("source = 'a'").count()
+    assert abs(stage * 5 - equal[0]["target"]) <= 5
+
+
+def test_every_row_is_taken_as_likely_as_due(spark):
+    rows = [(i, "w " * (1 + i % 7), "a" if i < 40 else "b") for i in range(120)] + [(3, "w " * 4, "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    seeds, total = 6, {}
+    for seed in range(seeds):
+        for r in mx.mix(docs, seed=seed).collect():
+            k = (r["source"], r["size"])
+            n, due, taken = total.get(k, (0, 0.0, 0))
+            total[k] = (n + r["times"], due + r["times"] * r["target"] / r["source_size"], taken + r["times"] * r["copies"])
+    for n, due, taken in total.values():
+        assert abs(taken - due) < 4.5 * n**0.5 * 0.5  # four standard deviations of independent draws
