@@ -2,10 +2,11 @@
 
 The Gram matrix of all vectors, summed where the rows are, gives the right singular vectors; in
 that basis the first coordinates hold most of each inner product. Vectors are dealt by
-descending length into BANDS of about equal counts. The HEAD longest vectors give each query a
-k-th best score that it has already; it only visits bands that can beat it by length
-(Cauchy-Schwarz). Within a band, longest first, the first HEADROOM coordinates plus the bound
-|rest of q| * |rest of x| rule out most vectors, and the others get their exact integer score.
+descending length into BANDS of about equal counts. All queries first meet the longest WAVE of
+the bands, which gives each a k-th best score; then they only visit bands that can beat it by
+length (Cauchy-Schwarz). Within a band, longest first, inner products grow by blocks of
+coordinates (STAGES); after each, the partial sum plus |rest of q| * |rest of x| rules out the
+pairs that cannot beat the k-th best so far, and what is left gets its exact integer score.
 Bounds have slack for rounding, so no result depends on floating point.
 
 Integers are held as doubles, in which every product and sum is exact while squared lengths
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .vectors import matrix, ranked, search_cells, taking_part
+from .vectors import FEW, STEP, Best, chosen, kth_best, matrix, ranked, search_cells, taking_part
 
-BANDS, HEAD, HEADROOM, PART_ROWS, SCALE = 64, 512, 16, 4096, 256
+BANDS, WAVE, STAGES, PART_ROWS, SCALE = 64, 8, (16, 32, 48), 16_384, 256
 FOUND = "query_id long, vec_id long, score long"
 EXACT = float(1 << 53)
 
@@ -69,6 +70,41 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score.astype(np.float64)))[:k] if score.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], int)
 
 
+def scan(q: np.ndarray, rq: np.ndarray, own: np.ndarray, names: np.ndarray, have: np.ndarray, x: np.ndarray, rx: np.ndarray, length: np.ndarray, ids: np.ndarray, k: int) -> tuple[Best, int]:
+    """(the k best of each query among rows of x in order of descending length, pairs scored).
+
+    rq and rx are rotated; have is a score that a query has k of already, or -inf. Best holds
+    scores with their sign changed."""
+    best, exact, have = Best(len(q), k), 0, have.copy()
+    stages = [(a, b) for a, b in zip((0, *STAGES), STAGES) if b < q.shape[1]]
+    rest = lambda r, b: np.sqrt((r[:, b:] ** 2).sum(1))
+    rest_q, rest_x = ({b: rest(r, b) for _, b in stages} for r in (rq, rx))
+    for lo in range(0, len(x), STEP):
+        limit = have - (1e-9 * own * length[lo] + 1e-6)
+        rows, cols = np.arange(lo, min(len(x), lo + STEP)), np.flatnonzero(own * length[lo] >= limit)
+        sums, pairs, i, j = np.zeros((len(rows), len(cols))), False, *np.zeros((2, 0), int)
+        for a, b in stages:
+            if pairs:
+                sums += np.einsum("ij,ij->i", rx[i, a:b], rq[j, a:b])
+                keep = sums + rest_x[b][i] * rest_q[b][j] >= limit[j]
+                i, j, sums = i[keep], j[keep], sums[keep]
+                continue
+            sums += rx[rows, a:b] @ rq[cols, a:b].T
+            some = sums + rest_x[b][rows, None] * rest_q[b][cols] >= limit[cols]
+            if some.sum() <= FEW * some.size or b == stages[-1][1]:  # from here on pairs are cheaper than blocks
+                i, j = np.nonzero(some)
+                i, j, sums, pairs = rows[i], cols[j], sums[i, j], True
+        if not stages:
+            i, j = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+        other = ids[i] != names[j]
+        i, j = i[other], j[other]
+        exact += len(i)
+        if len(i):
+            score = np.concatenate([np.einsum("ij,ij->i", x[i[at : at + 65536]], q[j[at : at + 65536]]) for at in range(0, len(i), 65536)])
+            have = np.maximum(have, -best.add(j, -score, ids[i]))
+    return best, exact
+
+
 def search(rows: DataFrame, is_query, k: int = 5, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of the highest inner product of floor(scale * x), for each row that is_query
     holds of."""
@@ -83,42 +119,41 @@ def search(rows: DataFrame, is_query, k: int = 5, scale: int = SCALE, id_col: st
     cuts = rows.agg(F.percentile_approx("length", F.array(*[F.lit(s) for s in steps]), F.lit(10_000)).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts), reverse=True)  # band b holds lengths above cuts[b], up to cuts[b - 1]
     band = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("length") <= c)).cast("long") if cuts else F.lit(0).cast("long")
-    cands = rows.withColumn("cell", band)
+    cands = materialize(rows.withColumn("cell", band), "bands")
     tops = {r["cell"]: r["top"] for r in cands.groupBy("cell").agg(F.max("length").alias("top")).collect()}  # BANDS rows at most
-    top_of = np.array([tops.get(b, -1.0) for b in range(BANDS)])
-    head = rows.orderBy(F.desc("length"), "vec_id").limit(HEAD).toPandas()
-    head_ids, head_x = head["vec_id"].to_numpy(), matrix(head["v"])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for query, v, length in zip(b["vec_id"], b["v"], b["length"]):
-                s = scores(head_x[head_ids != query], np.asarray(v))
-                have = float(sorted(s, reverse=True)[k - 1]) if len(s) >= k else -np.inf
-                cells = np.flatnonzero((top_of >= 0) & (top_of * length * (1 + 1e-9) >= have - 1e-6 * abs(have)))
-                yield pd.DataFrame({"cell": cells, "vec_id": query, "v": [v] * len(cells), "length": length, "have": have})
 
     def most(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(cs):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        cs = cs.sort_values(["length", "vec_id"], ascending=[False, True])
+        x, ids, lengths = matrix(cs["v"]), cs["vec_id"].to_numpy(), cs["length"].to_numpy()
+        q, names, own = matrix(qs["v"]), qs["vec_id"].to_numpy(), qs["length"].to_numpy()
+        if lengths[0] * own.max() < EXACT:
+            found, _ = scan(q, q @ basis, own, names, qs["have"].to_numpy(), x, x @ basis, lengths, ids, k)
+            return pd.DataFrame({"query_id": names[found.query], "vec_id": found.id, "score": (-found.value).astype(np.int64)})
         out = []
-        if len(qs) and len(cs):
-            cs = cs.sort_values(["length", "vec_id"], ascending=[False, True])
-            x, ids, length = matrix(cs["v"]), cs["vec_id"].to_numpy(), cs["length"].to_numpy()
-            q = matrix(qs["v"])
-            rx, rq = x @ basis, q @ basis
-            first, rest = np.ascontiguousarray(rx[:, :HEADROOM]), np.sqrt((rx[:, HEADROOM:] ** 2).sum(1))
-            for i, (query, own, have) in enumerate(zip(qs["vec_id"], qs["length"], qs["have"])):
-                slack = 1e-9 * own * length[0] + 1e-6
-                n = np.searchsorted(-length, -(have - slack) / own, "right") if own > 0 and have > 0 else len(ids)
-                bound = first[:n] @ rq[i, :HEADROOM] + rest[:n] * np.sqrt((rq[i, HEADROOM:] ** 2).sum())
-                at = np.flatnonzero((bound >= have - slack) & (ids[:n] != query))
-                if len(at):
-                    s = scores(x[at], q[i])
-                    good = best(ids[at], s, k)
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][good], "score": longs(s[good])}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
-    queries = materialize(queries.mapInPandas(visit, "cell long, vec_id long, v array<double>, length double, have double"), "visits")
-    return ranked(search_cells(cands, queries, PART_ROWS, most, FOUND, BANDS), k, ascending=False)
+        for i, query in enumerate(names):
+            at = np.flatnonzero(ids != query)
+            s = scores(x[at], q[i])
+            good = best(ids[at], s, k)
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][good], "score": longs(s[good])}))
+        return pd.concat(out)
+
+    def visits(queries: DataFrame, some: list[int]) -> DataFrame:
+        """queries at each of some bands that can beat what they have by length."""
+        bands = F.array(*[F.struct(F.lit(b).cast("long").alias("cell"), F.lit(float(tops[b])).alias("top")) for b in some])
+        can = F.filter(bands, lambda b: b["top"] * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("have"))
+        return queries.withColumn("_b", F.explode(can)).select(F.col("_b.cell").alias("cell"), "vec_id", "v", "length", "have")
+
+    queries = chosen(rows, is_query).withColumn("length", length)
+    queries = materialize(queries, "queries")
+    near = visits(queries.withColumn("have", F.lit(float("-inf"))), sorted(tops)[:WAVE])
+    found = materialize(search_cells(cands, near, PART_ROWS, most, FOUND, BANDS), "wave")
+    if len(tops) > WAVE:
+        reached = queries.join(kth_best(found, k, False).withColumnRenamed("query_id", "vec_id"), "vec_id", "left").fillna(float("-inf"), ["have"])
+        far = materialize(visits(reached, sorted(tops)[WAVE:]), "visits")
+        found = found.unionByName(search_cells(cands, far, PART_ROWS, most, FOUND, BANDS))
+    return ranked(found, k, ascending=False)
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TURN = 1024
+TURN = 4096
+#: Candidates that are compared with all queries of a turn at one time.
+STEP = 512
+#: The share of a block's pairs below which they are followed one by one.
+FEW = 0.15
 
 
 def taking_part(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", zero_too: bool = True) -> tuple[DataFrame, int]:
@@ -33,6 +37,37 @@ def taking_part(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return rows.where(F.size("v") == d), d
 
 
+def chosen(rows: DataFrame, is_query) -> DataFrame:
+    """One row for each id that is_query holds of; of repeated ids the least vector counts."""
+    return rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def kth_best(found: DataFrame, k: int, ascending: bool) -> DataFrame:
+    """(query_id, have): the k-th best score of the queries that have so many."""
+    return ranked(found, k, ascending).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("have"))
+
+
+class Best:
+    """The k least values found for each of n queries so far, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.n = k, n
+        self.query, self.value, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, query: np.ndarray, value: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The k-th least value of each query, infinite for those that have fewer."""
+        query, value, ids = (np.concatenate(x) for x in ((self.query, query), (self.value, value), (self.id, ids)))
+        order = np.lexsort((ids, value, query))
+        query, value, ids = query[order], value[order], ids[order]
+        first = np.searchsorted(query, np.arange(self.n))
+        rank = np.arange(len(query)) - first[query]
+        keep = rank < self.k
+        self.query, self.value, self.id = query[keep], value[keep], ids[keep]
+        out, last = np.full(self.n, np.inf), rank == self.k - 1
+        out[query[last]] = value[last]
+        return out
+
+
 def matrix(column) -> np.ndarray:
     """float64 rows from a series of lists or arrays of one length."""
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
@@ -43,11 +78,12 @@ def parts_of(counts: dict[int, int], most: int) -> dict[int, int]:
 
 
 def number_of(cell, per_cell: dict[int, int]) -> F.Column:
-    """A column with per_cell's value of column cell; the few cells are literals of the plan."""
+    """A column with per_cell's value of column cell, else 0; the few cells are literals of the
+    plan."""
     if not per_cell:
-        return F.lit(1)
-    most = max(per_cell) + 1
-    return F.element_at(F.array(*[F.lit(per_cell.get(k, 1)) for k in range(most)]), cell.cast("int") + 1)
+        return F.lit(0)
+    numbers = F.array(*[F.lit(per_cell.get(k, 0)) for k in range(max(per_cell) + 1)])
+    return F.coalesce(F.try_element_at(numbers, cell.cast("int") + 1), F.lit(0))
 
 
 def search_cells(cands: DataFrame, queries: DataFrame, part_rows: int, search, schema: str, cells: int) -> DataFrame:
@@ -61,8 +97,9 @@ def search_cells(cands: DataFrame, queries: DataFrame, part_rows: int, search, s
     parts, turns = parts_of(n_c, part_rows), parts_of(n_q, TURN)
     own = lambda per: F.pmod(F.xxhash64("vec_id"), number_of(F.col("cell"), per).cast("long"))
     all_of = lambda per: F.explode(F.sequence(F.lit(0).cast("long"), number_of(F.col("cell"), per).cast("long") - 1))
-    c = cands.withColumn("part", own(parts)).withColumn("turn", all_of(turns))
-    q = queries.withColumn("turn", own(turns)).withColumn("part", all_of(parts))
+    # cells that no query visits stay where they are
+    c = cands.where(number_of(F.col("cell"), turns) > 0).withColumn("part", own(parts)).withColumn("turn", all_of(turns))
+    q = queries.where(number_of(F.col("cell"), parts) > 0).withColumn("turn", own(turns)).withColumn("part", all_of(parts))
 
     def both(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         return search(qs, cs)

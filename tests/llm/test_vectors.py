@@ -64,7 +64,7 @@ def exact(v, ids, step, k):
 @pytest.mark.parametrize(("n", "d", "parts"), [(1200, 8, 100), (700, 32, 4096), (3, 8, 4096)])
 def test_topk_is_exact(spark, tmp_path, monkeypatch, n, d, parts):
     monkeypatch.setattr(topk, "PART_ROWS", parts)
-    monkeypatch.setattr(topk, "HEAD", 16)
+    monkeypatch.setattr(topk, "WAVE", 1)
     v = clusters(n, d, 3) * np.random.default_rng(1).uniform(0.1, 3, (n, 1)).astype(np.float32)
     table(spark, tmp_path, v, ODD if d == 8 and n > 7 else ())
     got = {}
@@ -73,6 +73,49 @@ def test_topk_is_exact(spark, tmp_path, monkeypatch, n, d, parts):
     assert got == exact(v, np.arange(n), 50, 5)
 
 
+def test_partial_sums_rule_out_most_pairs():
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * (rng.normal(size=(4000, 64)) * 0.9 ** np.arange(64)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0])
+    x = x[np.argsort(-np.linalg.norm(x, axis=1))]
+    basis, length, ids = np.linalg.eigh(x.T @ x)[1][:, ::-1], np.linalg.norm(x, axis=1), np.arange(4000)
+    own = rng.permutation(4000)[:80]
+    found, exact_pairs = topk.scan(x[own], x[own] @ basis, length[own], own, np.full(80, -np.inf), x, x @ basis, length, ids, 5)
+    s = x[own] @ x.T
+    s[np.arange(80), own] = -np.inf
+    for i in range(80):
+        assert found.id[found.query == i].tolist() == np.lexsort((ids, -s[i]))[:5].tolist()
+    assert exact_pairs < 0.25 * 80 * 4000
+
+
+def test_column_blocks_abandon_most_candidates():
+    rng = np.random.default_rng(6)
+    x = rng.permutation(np.concatenate([rng.normal(size=(1, 64)) * 3 + rng.normal(size=(400, 64)) for _ in range(10)]))
+    turn, ids, own = ann.rotation(64), np.arange(4000), np.arange(0, 4000, 50)
+    found, seen = ann.scan(x[own], x[own] @ turn, own, np.full(80, np.inf), x, x @ turn, ids, 10)
+    hits = 0
+    for i, q in enumerate(own):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({*found.id[found.query == i].tolist()} & {*np.argsort(d)[:10].tolist()})
+    assert hits >= 0.97 * 800 and seen < 0.5 * 80 * 4000 * 64
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ann_recall_on_the_given_vectors(spark, sf):
+    path = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x, ids = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]]), rows["vec_id"].to_numpy()
+    got = {}
+    for r in ann.op5_ann(spark, path).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in got:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits, total = hits + len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist())), total + 10
+    assert total and hits / total >= 0.9
+
+
 def test_topk_of_huge_and_of_zero_vectors(spark, tmp_path):
     v = np.array([[3e5] * 8, [2e5] * 8, [0.0] * 8, [-1e5] * 8], np.float32)
     table(spark, tmp_path, v)
