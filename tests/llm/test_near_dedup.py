@@ -76,7 +76,7 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, seed, few, block):
 
 def test_samples_agree_as_often_as_similar():
     rng, sampler = np.random.default_rng(3), nd.Sampler(100, 4)
-    h = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    h = np.sort(rng.integers(0, 1 << 32, 400, dtype=np.uint32))
     w = np.where(np.arange(400) % 3 == 0, 2.0, 1.0)
     v = w.copy()
     v[:60], v[60:100] = 0, 4.0
@@ -110,7 +110,7 @@ def test_floor_and_exact_way(spark, least_equal):
 
 def test_samples_of_long_texts_agree_as_often_as_similar():
     rng, sampler = np.random.default_rng(4), nd.Sampler(100, 4)
-    h = np.sort(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64))
+    h = np.sort(rng.integers(0, 1 << 32, 200_000, dtype=np.uint32))
     w = np.where(rng.random(len(h)) < 0.3, 1.7, 4.0)
     v = w * (rng.random(len(h)) < 0.85)
     want = np.minimum(w, v).sum() / np.maximum(w, v).sum()
