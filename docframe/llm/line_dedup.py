@@ -19,13 +19,18 @@ for each line it compares the halves it would have at its own length and at one
 
 Bounds of more than 1, for lines of some length, are a parameter (``bounds``; the shorter line of a
 pair decides). Then a line is split into bound + 1 segments, one of which ``bound`` edits leave
-whole, at a place that they shift by few characters: lines that share such a segment are paired
-(those of hot segments in salted blocks) and verified by edit distance. No pair within the
-bounds is lost; the pairs of lines that share a segment grow with the square of their number.
+whole, at a place that they shift by few characters: lines that share such a segment are compared
+and verified by edit distance. Up to FEW lines of a segment are paired by a join; more of them are
+compared in blocks of bounded size, which give the lines that go and no pairs. No pair within the
+bounds is lost; the comparisons within a block's hot segment grow with the square of its lines.
+
+Lines and rows are the same where two 64-bit hashes of them agree; keys of variants and segments
+have 64 bits and only choose what is compared, so a chance match costs a comparison, or, if it is
+the earliest of a key, one link of that key (about 1e-6 a key for 1e13 keys).
 
 Defined results: null texts count as empty and null ids sort first; rows that agree in id and
-text count as one occurrence, and each is returned; texts of any length are taken whole; an empty table gives an
-empty result. A document keeps its row, if need be with an empty text.
+text count as one occurrence, and each is returned; texts of any length are taken whole; an empty
+table gives an empty result. A document keeps its row, if need be with an empty text.
 """
 
 from __future__ import annotations
@@ -33,22 +38,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table, text_of
+from .common import materialize, remove_table, table, text_of
 
 MIN_CHARS = 20
 B = 0x9E3779B97F4A7C15 | 1
 B_INVERSE = pow(B, -1, 1 << 64)
 #: (least characters, edit distance), in order of length
 BOUNDS = ((20, 1), (40, 2))
-BLOCK = 64
+#: Lines of a segment that are paired by a join, and lines or characters of half a block.
+FEW, BLOCK, BLOCK_CHARS = 16, 512, 1 << 19
 VARIANTS = "line long, key long, whole boolean"
 STEP = 1 << 16
-#: Rows of up to this many candidates' places, some 50 bytes each, are broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -144,63 +149,142 @@ def within_one(a: str, b: str) -> bool:
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: the lines of (line, t, u) whose texts are neighbours."""
+    """mapInArrow: the lines of (line, twin, t, u) whose texts are neighbours."""
     for b in batches:
         keep = [within_one(t, u) for t, u in zip(b.column("t").to_pylist(), b.column("u").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(keep, pa.bool_()))], names=["line"])
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(mask) for c in ("line", "twin")], names=["line", "twin"])
+
+
+def _hashes(line) -> tuple[F.Column, F.Column]:
+    """Two hashes, which together tell lines apart."""
+    return F.xxhash64(line).alias("line"), F.xxhash64(F.lit(1), line).alias("twin")
 
 
 def _texts(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """(line, text) of the lines of some, (line, first, ...), from where they first occurred."""
-    wanted = some.select("line", F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
-    spots = materialize(wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "_no")).alias("_spots"), F.count(F.lit(1)).alias("_n")), "spots")
-    # rows of many candidates are few: what is broadcast is bounded by candidates, not documents
-    spots = small(spots, BROADCAST_ROWS) if (spots.agg(F.sum("_n")).first()[0] or 0) <= BROADCAST_ROWS else spots
+    """(line, twin, text) of the lines of some, (line, twin, first, ...), from where they first
+    occurred."""
+    wanted = some.select("line", "twin", F.col("first.row").alias("_row"), F.col("first.no").alias("_no"))
+    spots = materialize(wanted.groupBy("_row").agg(F.collect_list(F.struct("line", "twin", "_no")).alias("_spots")), "spots")
     held = docs.select(F.col("row").alias("_row"), F.split(text_of(F.col("text")), "\n").alias("_lines")).join(spots, "_row")
-    texts = held.select(F.explode("_spots").alias("s"), "_lines").select(F.col("s.line").alias("line"), F.element_at("_lines", F.col("s._no") + 1).alias("text"))
-    return materialize(texts.dropDuplicates(["line"]), "texts")
+    texts = held.select(F.explode("_spots").alias("s"), "_lines").select("s.line", "s.twin", F.element_at("_lines", F.col("s._no") + 1).alias("text"))
+    texts = materialize(texts.dropDuplicates(["line", "twin"]), "texts")
+    remove_table(spots)
+    return texts
+
+
+def _bound_of(shorter, bounds: tuple[tuple[int, int], ...]) -> F.Column:
+    bound = F.lit(-1)
+    for least, k in bounds:
+        bound = F.when(shorter >= least, k).otherwise(bound)
+    return bound
+
+
+def within(a: str, b: str, k: int) -> bool:
+    """Whether two strings are within edit distance k: only the 2 k + 1 diagonals that k edits
+    can reach are followed."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    row = {d: d for d in range(k + 1)}  # by diagonal: edits up to here; column = line + diagonal
+    for i, x in enumerate(a):
+        new = {}
+        for d in range(-k, k + 1):
+            j = i + 1 + d
+            if 0 <= j <= len(b):
+                best = min(row.get(d + 1, k) + 1, new.get(d - 1, k) + 1, row.get(d, k + 1) + (j == 0 or x != b[j - 1]))
+                if best <= k:
+                    new[d] = best
+        if not new:
+            return False
+        row = new
+    return row.get(len(b) - len(a), k + 1) <= k
+
+
+def _late_lines(g: pd.DataFrame, bounds: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The rows of a block, in order of first occurrence, that are near an earlier one of it.
+
+    Pairs of which neither has the segment as its own, or of one part in a block of two, belong
+    elsewhere. Lengths and counts of characters rule out most others at once."""
+    texts, own, part = g["text"].tolist(), g["own"].to_numpy(), g["part"].to_numpy()
+    length, two = g["text"].str.len().to_numpy(), g["lo"].iloc[0] != g["hi"].iloc[0]
+    kinds = np.zeros((len(g), 64), np.int32)
+    for row, t in zip(kinds, texts):
+        row += np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % 64, minlength=64).astype(np.int32)
+    gone = np.zeros(len(g), bool)
+    for i in range(1, len(g)):
+        shorter, bound = np.minimum(length[:i], length[i]), np.full(i, -1)
+        for least, k in bounds:
+            bound[shorter >= least] = k
+        may = (np.abs(length[:i] - length[i]) <= bound) & (own[:i] | own[i])
+        if two:
+            may &= part[:i] != part[i]
+        at = np.flatnonzero(may)
+        at = at[np.abs(kinds[at] - kinds[i]).sum(1) <= 2 * bound[at]]
+        gone[i] = any(within(texts[i], texts[j], int(bound[j])) for j in at.tolist())
+    return np.flatnonzero(gone)
+
+
+def _hot_lines(some: DataFrame, texts: DataFrame, bounds: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(line, twin) of the lines that are near an earlier one that shares a hot segment."""
+    parts = F.col("parts")
+    rows = some.groupBy("key", "line").agg(F.max("own").alias("own"), F.first("parts").alias("parts"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("line"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
+    rows = rows.join(texts, "line")
+    # a block's order of first occurrence, as a number that pandas can sort
+    order = F.row_number().over(Window.partitionBy("key", "lo", "hi").orderBy("first", "twin"))
+    rows = rows.withColumn("nth", order).select("key", "lo", "hi", "part", "own", "nth", "line", "twin", "text")
+
+    def late(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("nth", ignore_index=True)
+        return g.loc[_late_lines(g, bounds), ["line", "twin"]]
+
+    return rows.groupBy("key", "lo", "hi").applyInPandas(late, "line long, twin long")
 
 
 def far_lines(docs: DataFrame, bounds: tuple[tuple[int, int], ...]) -> tuple[DataFrame, DataFrame]:
     """As repeated_lines, with a bound for each length."""
     long_ones = lines_of(docs).where(F.length("line") >= bounds[0][0])
     own, probe = _segments(F.col("line"), F.length("line"), bounds)
-    each = long_ones.select(F.xxhash64("line").alias("line"), F.struct("doc_id", "row", "no").alias("at"), own.alias("own"), probe.alias("probe"))
-    known = each.groupBy("line").agg(F.min(F.struct("at", "own", "probe")).alias("x"))
-    known = materialize(known.select("line", F.col("x.at").alias("first"), F.col("x.own").alias("own"), F.col("x.probe").alias("probe")), "lines")
-    keys = known.select("line", F.explode("own").alias("key"), F.lit(True).alias("own"))
-    keys = keys.union(known.select("line", F.explode("probe").alias("key"), F.lit(False).alias("own")))
+    each = long_ones.select(*_hashes("line"), F.struct("doc_id", "row", "no").alias("at"), F.length("line").alias("chars"), own.alias("own"), probe.alias("probe"))
+    known = each.groupBy("line", "twin").agg(F.min(F.struct("at", "chars", "own", "probe")).alias("x"))
+    known = materialize(known.select("line", "twin", F.col("x.at").alias("first"), F.col("x.chars").alias("chars"), F.col("x.own").alias("own"), F.col("x.probe").alias("probe")), "lines")
+    keys = known.select("line", "chars", F.explode("own").alias("key"), F.lit(True).alias("own"))
+    keys = keys.union(known.select("line", "chars", F.explode("probe").alias("key"), F.lit(False).alias("own")))
     # a key matters if it holds two lines, one of them with its own segment
-    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("a <> b and own").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    some = materialize(keys.join(shared, "key"), "candidates")
-    left = some.where("own").select("key", F.col("line").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = some.select("key", F.col("line").alias("b"), F.pmod(F.xxhash64("line"), "blocks").cast("int").alias("block"))
-    pairs = left.join(right, ["key", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    shared = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("long")
+    shared = shared.where("a <> b and own").select("key", "n", parts.alias("parts"))
+    some = materialize(keys.drop("chars").join(shared, "key"), "candidates")
+    few, many = some.where(F.col("n") <= FEW), some.where(F.col("n") > FEW).drop("n")
+    left = few.where("own").select("key", F.col("line").alias("a"))
+    right = few.select("key", F.col("line").alias("b"))
+    pairs = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    wanted = materialize(known.select("line", "first").join(wanted, "line"), "wanted")
-    texts = _texts(docs, wanted).join(wanted, "line")
-    side = lambda c: texts.select(F.col("line").alias(c), F.col("text").alias(f"{c}_text"), F.col("first").alias(f"{c}_first"))
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(many.select("line")).distinct()
+    wanted = materialize(known.select("line", "twin", "first").join(wanted, "line"), "wanted")
+    texts = _texts(docs, wanted).join(wanted, ["line", "twin"])
+    side = lambda c: texts.select(F.col("line").alias(c), F.struct("line", "twin").alias(f"{c}_line"), F.col("text").alias(f"{c}_text"), F.col("first").alias(f"{c}_first"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shorter, bound = F.least(F.length("a_text"), F.length("b_text")), F.lit(-1)
-    for least, k in bounds:
-        bound = F.when(shorter >= least, k).otherwise(bound)
+    bound = _bound_of(F.least(F.length("a_text"), F.length("b_text")), bounds)
     both = both.where(F.levenshtein("a_text", "b_text", max(k for _, k in bounds)).between(0, bound))
-    near = both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct()
-    return known.select("line", "first"), materialize(near, "near")
+    near = both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b_line")).otherwise(F.col("a_line")).alias("x")).select("x.line", "x.twin")
+    near = materialize(near.unionByName(_hot_lines(many, texts, bounds)).distinct(), "near")
+    for done in (some, pairs, wanted):
+        remove_table(done)
+    return known.select("line", "twin", "first"), near
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """((line, first) of every distinct line of at least min_chars, (line, near): lines that go
-    for an earlier neighbour). ``line`` is a line's hash, ``first`` where it first occurred."""
+    """((line, twin, first) of every distinct line of at least min_chars, (line, twin): lines that
+    go for an earlier neighbour). line and twin are a line's hashes, first where it first occurred."""
     long_ones = lines_of(docs).where(F.length("line") >= min_chars)
     n = F.length("line")
     at = F.struct("doc_id", "row", "no")
-    each = long_ones.select(F.xxhash64("line").alias("line"), at.alias("at"), F.array(*_halves(F.col("line"), n)).alias("halves"))
+    each = long_ones.select(*_hashes("line"), at.alias("at"), F.array(*_halves(F.col("line"), n)).alias("halves"))
     # the halves are a function of the line, so the minimum of this struct has its first place
-    known = each.groupBy("line").agg(F.min(F.struct("at", "halves")).alias("x"))
-    known = materialize(known.select("line", F.col("x.at").alias("first"), F.col("x.halves").alias("halves")), "lines")
+    known = each.groupBy("line", "twin").agg(F.min(F.struct("at", "halves")).alias("x"))
+    known = materialize(known.select("line", "twin", F.col("x.at").alias("first"), F.col("x.halves").alias("halves")), "lines")
     half = known.select("line", F.posexplode("halves").alias("kind", "key"))
     half = half.select("line", "key", (F.col("kind") < 2).alias("own"), (F.col("kind") % 2).alias("side"))
     # a key matters if it holds two lines, one of them at its own length; equal left halves leave
@@ -208,9 +292,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     shared = half.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.max("own").alias("own"))
     shared = shared.where("a <> b and own").select("key")
     some = half.join(shared, "key").groupBy("line").agg(F.max(F.col("side") == 1).alias("left"), F.max(F.col("side") == 0).alias("right"))
-    some = materialize(some.join(known.select("line", "first"), "line"), "candidates")
+    some = materialize(some.join(known.select("line", "twin", "first"), "line"), "candidates")
     texts = _texts(docs, some)
-    emitted = texts.join(some.select("line", "left", "right"), "line").select("line", "text", "left", "right")
+    emitted = texts.join(some.select("line", "twin", "left", "right"), ["line", "twin"]).select("line", "text", "left", "right")
     # one shuffle serves both the sums and the rows that they choose
     emitted = emitted.mapInArrow(variants, VARIANTS).repartition("key")
     common = emitted.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
@@ -223,8 +307,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     links = hits.join(groups, "key").select("line", "first", near.alias("near")).where("near.first < first")
     links = links.select("line", F.col("near.line").alias("near")).distinct()
     pairs = links.join(texts.withColumnRenamed("text", "t"), "line").join(texts.select(F.col("line").alias("near"), F.col("text").alias("u")), "near")
-    near_lines = pairs.select("line", "t", "u").mapInArrow(verified, "line long").distinct()
-    return known.select("line", "first"), materialize(near_lines, "near")
+    near_lines = materialize(pairs.select("line", "twin", "t", "u").mapInArrow(verified, "line long, twin long").distinct(), "near")
+    for done in (some, texts, hits):
+        remove_table(done)
+    return known.select("line", "twin", "first"), near_lines
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", bounds: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
@@ -234,9 +320,9 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", t
     min_chars = bounds[0][0] if bounds else min_chars
     first, near = far_lines(rows, bounds) if bounds else repeated_lines(rows, min_chars)
     # what goes: later occurrences, and every occurrence of a line with an earlier neighbour
-    occurrences = lines_of(rows).where(F.length("line") >= min_chars).select("row", "no", "doc_id", F.xxhash64("line").alias("line"))
-    marks = first.join(near.withColumn("near", F.lit(True)), "line", "left")
-    gone = occurrences.join(marks, "line").where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "no") != F.col("first")))
+    occurrences = lines_of(rows).where(F.length("line") >= min_chars).select("row", "no", "doc_id", *_hashes("line"))
+    marks = first.join(near.withColumn("near", F.lit(True)), ["line", "twin"], "left")
+    gone = occurrences.join(marks, ["line", "twin"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "no") != F.col("first")))
     gone = materialize(gone.groupBy("row").agg(F.collect_set("no").alias("gone")), "gone")
     out = rows.join(gone.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r"), "left").drop("_r")
     lines = F.split(text_of(F.col("text")), "\n")
@@ -248,8 +334,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", t
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row: ids may be null or repeat."""
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text")))
+    """docs with two hashes of each row: ids may be null or repeat."""
+    return docs.withColumn("_row", F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

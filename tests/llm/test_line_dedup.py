@@ -52,8 +52,7 @@ def test_against_brute_force(spark, tmp_path, seed):
     assert all(got[i]["n_lines"] == len((t or "").split("\n")) for i, t in rows)
 
 
-def test_shuffle_join_beyond_the_broadcast_bound(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ld, "BROADCAST_ROWS", 0)
+def test_texts_come_by_a_join(spark, tmp_path):
     rows = corpus(3)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["text_sha256"] for r in ld.op6_line_dedup(spark, str(tmp_path)).collect()}
@@ -120,7 +119,8 @@ def bounds_brute_force(rows, bounds):
 
 @pytest.mark.parametrize("bounds", [((20, 1), (24, 2)), ((6, 1), (12, 2), (22, 3))])
 def test_bounds_against_brute_force(spark, monkeypatch, bounds):
-    monkeypatch.setattr(ld, "BLOCK", 3)
+    monkeypatch.setattr(ld, "FEW", 2)
+    monkeypatch.setattr(ld, "BLOCK", 5)
     rng = random.Random(len(bounds))
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([6, 12, 20, 22, 23, 24, 25, 31]))) for _ in range(20)] + ["ab" * 12]
     rows = []
@@ -138,6 +138,15 @@ def test_bounds_against_brute_force(spark, monkeypatch, bounds):
     assert got == bounds_brute_force(rows, bounds)
 
 
+def test_within_against_the_definition():
+    rng = random.Random(10)
+    for _ in range(2000):
+        a = "".join(rng.choice("aéb") for _ in range(rng.randint(0, 9)))
+        b = "".join(rng.choice("aéb") for _ in range(rng.randint(0, 9)))
+        for k in (0, 1, 2, 3):
+            assert ld.within(a, b, k) == (distance(a, b) <= k), (a, b, k)
+
+
 def test_the_stage_drops_a_line_with_two_edits(spark):
     rows = [(1, "Ening thheeaan. That ha thnt to of of nd inntble."), (2, "Ening thheeaan. That ha thnt in of of nd inntble.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
