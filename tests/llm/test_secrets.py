@@ -38,17 +38,35 @@ def test_more_rules_add_spans(spark, tmp_path):
     assert spans[0] == "pem:0:31" and set(base_spans(text).split(",")) < set(spans)
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
+    ledger = f"{tmp_path}/ledger"
     first = spark.createDataFrame([("a.py", 1, "token=abcdef"), ("b.py", 1, "nothing")], "path string, version int, text string")
-    found, ledger = sc.scan(first)
-    assert ledger.count() == 2 and {r["path"]: len(r["_spans"]) for r in found.collect()} == {"a.py": 1, "b.py": 0}
+    found, fresh = sc.scan(first, ledger)
+    assert fresh.count() == 2 and {r["path"]: len(r["_spans"]) for r in found.collect()} == {"a.py": 1, "b.py": 0}
+    known = {r["blob"] for r in fresh.collect()}
     second = spark.createDataFrame([("a.py", 2, "nothing"), ("c.py", 1, "token=abcdef"), ("d.py", 1, "secret: zzzzzzz")], "path string, version int, text string")
-    known = {r["blob"] for r in ledger.collect()}
-    found, after = sc.scan(second, ledger)
+    found, fresh = sc.scan(second, ledger)
     assert {r["path"]: len(r["_spans"]) for r in found.collect()} == {"a.py": 0, "c.py": 1, "d.py": 1}
-    assert after.count() == 3 and len({r["blob"] for r in after.collect()} - known) == 1
-    _, newer = sc.scan(second, after, version="2")  # a new rule version scans blobs again
-    assert newer.where("rule_version = '2'").count() == 3
+    assert fresh.count() == 1 and not {r["blob"] for r in fresh.collect()} & known and sc.ledger_at(spark, ledger).count() == 3
+    _, fresh = sc.scan(second, ledger, version="2")  # a new rule version scans blobs again
+    assert fresh.count() == 3 and sc.ledger_at(spark, ledger).count() == 6
+    _, fresh = sc.scan(second, ledger, version="2")
+    assert fresh.count() == 0
+
+
+def test_the_query_twice_with_one_ledger(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = sorted(tuple(r) for r in sc.op3_secrets(spark, str(tmp_path), f"{tmp_path}/ledger").collect())
+    blobs = sc.ledger_at(spark, f"{tmp_path}/ledger").count()
+    assert sorted(tuple(r) for r in sc.op3_secrets(spark, str(tmp_path), f"{tmp_path}/ledger").collect()) == first
+    assert sc.ledger_at(spark, f"{tmp_path}/ledger").count() == blobs
+
+
+def test_a_text_of_many_matches(spark):
+    text = "token=abcdef " * 20_000
+    found, _ = sc.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    spans = [(s["start"], s["stop"]) for s in found.first()["_spans"]]
+    assert spans == [(13 * i, 13 * i + 12) for i in range(20_000)]
 
 
 def test_empty_table_and_native_plan(spark, tmp_path):
