@@ -2,17 +2,20 @@
 
 Write. A payload's SHA-256 groups equal ones; of equal payloads of at least ``min_revisit``
 bytes the capture with the smallest id is a response, the others are revisits that refer to it.
-Each task writes one archive, sorted by URL key, timestamp and id: a capture run. Spark's text
-writer puts records down as they are, with the blank lines that end a record as its separator,
-so archives land on any store that Spark writes to.
+Each task cuts its records into archives of at most ``archive_bytes`` (or one longer record),
+each sorted by URL key, timestamp and id: a capture run. Spark's text writer puts records down as
+they are, with the blank lines that end a record as its separator, so archives land on any store
+that Spark writes to. They are not compressed, so that a record can be read at its offset.
 
 Read. Records are found by their Content-Length, never by searching for text that a payload
 might contain, and each payload is checked against its digest.
 
-Index merge. Reading gives each archive's sorted run of index lines. Runs are cut at common key
-ranges, and each range merges its slices of all runs by a loser tree (k-way, one comparison a
-level for each line): the ranges in order are the global capture history. Ranges are cut by
-(URL key, timestamp, id), so one hot URL spans as many ranges as it needs.
+Index merge. Archives are parsed once; the sorted runs of their index lines are written to the
+shared folder. Runs are cut at common key ranges of about ``range_lines`` lines, and each range
+merges its slices of all runs by a loser tree (k-way, one comparison a level for each line): the
+ranges in order are the global capture history. What a task holds is bounded by the range, not by
+the data. Ranges are cut by (URL key, timestamp, id, place), so one hot URL spans as many ranges
+as it needs.
 
 Defined results: a null html is the empty payload; null URLs have the empty key and sort first;
 pages without an id are responses or refer to one like any other, ids that are null sort last;
@@ -25,13 +28,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_of
+from .common import materialize, shared_dir, table, text_of
 
-MIN_REVISIT, ARCHIVE_RECORDS = 100, 2_000
+MIN_REVISIT, ARCHIVE_BYTES, RANGE_LINES = 100, 32 << 20, 50_000
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
 INDEX = "url_key string, stamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, at long"
@@ -76,12 +82,26 @@ def record() -> F.Column:
     )
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None) -> None:
-    """Archives under path, compressed, each of bounded length and sorted by URL key, stamp and
-    id. Rows stay in the tasks to which the join by digest has dealt them."""
-    rows = captures(pages, min_revisit, stamp_col).withColumn("_key", url_key(F.col("url")))
-    rows = rows.sortWithinPartitions("_key", "stamp", F.col("page_id").asc_nulls_last())
-    rows.select(record().alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def _numbered(archive_bytes: int):
+    """mapInArrow: a task's records with the number of the archive that each goes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            ends = at + np.cumsum(pc.binary_length(b.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 4)
+            at = int(ends[-1]) if len(ends) else at
+            yield pa.RecordBatch.from_arrays([pa.array(ends // archive_bytes), *b.columns], names=["archive", *b.schema.names])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives under path, each of bounded size and sorted by URL key, stamp and id. Rows stay in
+    the tasks to which the join by digest has dealt them."""
+    rows = captures(pages, min_revisit, stamp_col).select(url_key(F.col("url")).alias("key"), "stamp", "page_id", record().alias("value"))
+    rows = rows.mapInArrow(_numbered(archive_bytes), "archive long, key string, stamp string, page_id long, value string")
+    rows = rows.sortWithinPartitions("archive", "key", "stamp", F.col("page_id").asc_nulls_last()).select("archive", "value")
+    rows.write.partitionBy("archive").option("lineSep", CRLF + CRLF).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -107,15 +127,13 @@ def _number(uri: str | None) -> int | None:
 
 def read_index(spark, path: str) -> DataFrame:
     """The index lines of all archives under path, those of an archive in its order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 out = []
-                for at, f, payload in parse(zlib.decompress(content, 31) if content else b""):
+                for at, f, payload in parse(content or b""):
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(f["X-Payload-Length"])):
                         raise ValueError(f"{name}: the payload at byte {at} differs from its digest")
@@ -160,24 +178,32 @@ class LoserTree:
             self.tree[0] = w
 
 
-def merge(index: DataFrame) -> DataFrame:
+def _runs(batches: Iterator[pd.DataFrame]) -> list[list]:
+    """(key, row) of each slice of a run: rows of one archive, as long as they ascend."""
+    last: dict[str, list] = {}
+    runs = []
+    for b in batches:
+        for row in b.itertuples(index=False):
+            none = pd.isna(row.page_id)
+            key = (row.url_key, row.stamp, none, 0 if none else row.page_id, row.archive, row.at)
+            run = last.get(row.archive)
+            if run is None or run[-1][0] > key:  # a slice begins, or a block of it that came out of turn
+                run = last[row.archive] = []
+                runs.append(run)
+            run.append((key, row))
+    return runs
+
+
+def merge(index: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """The index in global order of URL key, stamp and id: partition by partition, row by row."""
-    order = ("url_key", "stamp", "page_id")
     columns = [c.split()[0] for c in INDEX.split(", ")]
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.select(*columns).repartitionByRange(parts, *order)
+    runs = materialize(index.select(*columns), "runs")
+    order = ("url_key", "stamp", F.col("page_id").asc_nulls_last(), "archive", "at")
+    dealt = runs.repartitionByRange(runs.count() // range_lines + 1, *order)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list] = {}
-        for b in batches:
-            for row in b.itertuples(index=False):
-                none = pd.isna(row.page_id)
-                runs.setdefault(row.archive, []).append(((row.url_key, row.stamp, none, 0 if none else row.page_id, row.at), row))
-        for run in runs.values():  # slices come in the order of their archive; a re-read block may not
-            if any(a[0] > b[0] for a, b in zip(run, run[1:])):
-                run.sort(key=lambda x: x[0])
         some = []
-        for _, row in LoserTree([runs[k] for k in sorted(runs)]):
+        for _, row in LoserTree(_runs(batches)):
             some.append(row)
             if len(some) == 10_000:
                 yield _frame(some, columns)
@@ -192,11 +218,11 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES, range_lines: int = RANGE_LINES) -> DataFrame:
     """Write pages to new archives in the shared folder, read them back, merge their indexes."""
     path = f"{shared_dir(pages.sparkSession)}/warc"
-    write(pages, path, min_revisit, stamp_col)
-    return merge(read_index(pages.sparkSession, path))
+    write(pages, path, min_revisit, stamp_col, archive_bytes)
+    return merge(read_index(pages.sparkSession, path), range_lines)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import pytest
@@ -41,13 +42,28 @@ def test_clashing_columns(spark, tmp_path):
     assert (r["page_id"], r["payload_bytes"], r["stamp"]) == (1, 200, "1970-01-01T00:00:00Z")
 
 
-def test_small_archives_are_merged(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 3)
+def test_small_archives_are_merged_in_many_ranges(spark):
     rows = pages()
-    got = warc.archive(spark.createDataFrame(rows, COLUMNS).repartition(4)).collect()
-    assert len({r["archive"] for r in got}) > 40 and len(got) == len(rows)
+    got = warc.archive(spark.createDataFrame(rows, COLUMNS).repartition(4), archive_bytes=4000, range_lines=25).collect()
+    assert len({r["archive"] for r in got}) > 10 and len(got) == len(rows)
     keys = [(r["url_key"], r["stamp"], r["page_id"]) for r in got]
     assert keys == sorted(keys)
+    for r in got:  # a record can be read at its offset
+        path = r["archive"].removeprefix("file:")
+        with open(path, "rb") as f:
+            f.seek(r["at"])
+            head = f.read(2000)
+        assert head.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r['page_id']}>".encode() in head
+        assert os.path.getsize(path) < 9000 or "902" in open(path, newline="").read()
+
+
+def test_slices_out_of_turn_become_runs():
+    import pandas as pd
+
+    rows = [("a", "t", i, "u", 1, "d", "response", None, f"x{i % 2}", i) for i in (5, 7, 9, 1, 3, 8, 2, 4)]
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in warc.INDEX.split(", ")])
+    runs = warc._runs(iter([frame[:3], frame[3:]]))
+    assert len(runs) > 2 and [r.page_id for _, r in warc.LoserTree(runs)] == [1, 2, 3, 4, 5, 7, 8, 9]
 
 
 def test_timestamps_order_a_history(spark):
