@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.integrity import violations
-from .plans.query import compile_query, parse_query, select_rows
+from .plans.query import compile_query, parse_query
 from .plans.view import DOC, View
 from .spec import TableSpec, load_schema, parse_schema
 from .table import Table, collect_records
@@ -71,22 +72,22 @@ class Database:
         whole schemaless records."""
         table, q, view = self._plan(directive)
         rows, order = compile_query(view, q, table.search_view, self._view)
-        out = rows.orderBy(*order) if q.limit is not None or q.index or q.search is not None else rows
+        out = rows.orderBy(*order) if q.limit is not None else rows  # a page; whole results have no order
         names = rows.schema["record"].dataType.names
         return out.select(*[F.col("record").getField(n).alias("doc" if n == DOC else n) for n in names])
 
     def execute(self, directive: dict[str, Any]) -> Any:
         """A record or None for ``pk``, else {"items": [...], "next_token"?}."""
         table, q, view = self._plan(directive)
-        rows, order = compile_query(view, q, table.search_view, self._view)
+        # one record beyond the page tells whether another page follows
+        more = replace(q, limit=q.limit + 1) if q.limit is not None and not q.single else q
+        rows, order = compile_query(view, more, table.search_view, self._view)
         items = collect_records(rows, order, q.include)
         if q.single:
             return items[0] if items else None
         out: dict[str, Any] = {"items": items}
-        if q.limit is not None and len(items) == q.limit:
-            found, total = select_rows(view, q, table.search_view)
-            if not found.frame.orderBy(*total).offset(q.start + q.limit).limit(1).isEmpty():
-                out["next_token"] = str(q.start + q.limit)
+        if q.limit is not None and len(items) > q.limit:
+            out = {"items": items[: q.limit], "next_token": str(q.start + q.limit)}
         return out
 
     def describe(self) -> dict[str, Any]:

@@ -39,6 +39,11 @@ class QuerySpec:
     def single(self) -> bool:
         return self.pk is not None
 
+    @property
+    def selects(self) -> bool:
+        """Whether the query leaves rows of its table out."""
+        return self.single or self.limit is not None or bool(self.where) or self.index is not None or self.search is not None
+
 
 def parse_query(directive: dict[str, Any] | None) -> QuerySpec:
     d = directive or {}
@@ -110,24 +115,30 @@ def resolve(view: View, edge: AssociationSpec, directive: dict[str, Any], tables
     key, sort, place, goal_key = (f"_inc_{level}_{x}" for x in ("key", "sort", "place", "goal"))
     own = view.value(edge.foreign_key if edge.kind == "belongs_to" else view.spec.own_key).text
     left = view.frame.withColumn(key, own)
-    keys = left.select(key).where(F.col(key).isNotNull()).distinct()
+    # what a selection relates to is cut to its keys before it is gathered; a whole table would
+    # only be read twice for that
+    cut = view.cut
+    keys = left.select(key).where(F.col(key).isNotNull()).distinct() if cut else None
+    of_keys = lambda rows, on: rows.join(keys, on, "left_semi") if cut else rows
     if edge.kind == "belongs_to":
-        found = target.on(target.frame.withColumn(key, target.pk).join(keys, key, "left_semi"))
+        found = target.on(of_keys(target.frame.withColumn(key, target.pk), key), cut)
         one = _related(found, directive, tables).select(key, F.col("_inc_payload").alias(out))
         return left.join(one, key, "left").drop(key)
     if edge.kind == "has_many":
         children = target.members(gsi := _gsi(target, edge.index))
         by = children.value(gsi.sort_key).order if gsi.sort_key else F.lit(0)
         rows = children.frame.withColumns({key: children.value(gsi.partition_key).text, sort: by, place: _tie(children)})
-        found = _related(target.on(rows.join(keys, key, "left_semi")), directive, tables)
+        found = _related(target.on(of_keys(rows, key), cut), directive, tables)
     else:
         junction = tables(edge.through)
         links = junction.members(gsi := _gsi(junction, edge.index))
         by = links.value(gsi.sort_key).order if gsi.sort_key else F.lit(0)
         links = links.frame.select(links.value(gsi.partition_key).text.alias(key), by.alias(sort), _tie(links).alias(place), links.value(edge.foreign_key).text.alias(goal_key))
-        links = links.join(keys, key, "left_semi")
-        wanted = links.select(goal_key).where(F.col(goal_key).isNotNull()).distinct()
-        goal = target.on(target.frame.withColumn(goal_key, target.pk).join(wanted, goal_key, "left_semi"))
+        links = of_keys(links, key)
+        goal = target.frame.withColumn(goal_key, target.pk)
+        if cut:
+            goal = goal.join(links.select(goal_key).where(F.col(goal_key).isNotNull()).distinct(), goal_key, "left_semi")
+        goal = target.on(goal, cut)
         found = links.join(_related(goal, directive, tables).select(goal_key, "_inc_payload"), goal_key)
     many = _collected(found, key, [sort, place], out)
     kind = many.schema[out].dataType.simpleString()
@@ -158,6 +169,6 @@ def compile_query(view: View, q: QuerySpec, search, tables) -> tuple[DataFrame,
     rows = page(found, order, q)
     if q.limit is not None:
         order = [F.col("_rn").asc()]
-    expanded = found.on(expand(found.on(rows), q.include, tables))
+    expanded = found.on(expand(found.on(rows, q.selects), q.include, tables))
     record = expanded.payload(q.fields, tuple(q.include))
     return expanded.frame.withColumn("record", record), order

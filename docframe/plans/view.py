@@ -21,14 +21,16 @@ SEPARATOR = "__"
 @dataclass(frozen=True)
 class View:
     """spec and frame; ``doc`` names the variant column of schemaless rows, which also hold
-    ``_pk``. Typed rows have columns only, and their key is computed from them."""
+    ``_pk``. Typed rows have columns only, and their key is computed from them. ``cut`` says that
+    frame holds some rows of the table only."""
 
     spec: TableSpec
     frame: DataFrame
     doc: str | None = None
+    cut: bool = False
 
-    def on(self, frame: DataFrame) -> View:
-        return replace(self, frame=frame)
+    def on(self, frame: DataFrame, cut: bool | None = None) -> View:
+        return replace(self, frame=frame, cut=self.cut if cut is None else cut)
 
     def value(self, name: str) -> Value:
         return value_of(self.frame, name, self.doc)
@@ -67,6 +69,16 @@ class View:
                 found.append(v.column == F.lit(_plain(part)) if v.kind == "string" else v.text == F.lit(_plain(part)))
         return self.on(self.frame.where(reduce(lambda a, b: a & b, found)))
 
+    def by_keys(self, keys: list[Any]) -> View:
+        """Rows of many keys, by one join; keys are what the caller holds, so few enough to send."""
+        names, session = self.spec.key_fields, self.frame.sparkSession
+        known = session.createDataFrame([(_plain(k) if not isinstance(k, tuple) else SEPARATOR.join(map(_plain, k)),) for k in keys], "_key string").distinct()
+        value = self.value(names[0])
+        if not self.doc and len(names) == 1 and isinstance(value.dtype, T.IntegralType):
+            known = known.select(F.col("_key").try_cast(value.dtype).alias("_key"))
+            return self.on(self.frame.join(F.broadcast(known), value.column == F.col("_key"), "left_semi"), True)
+        return self.on(self.frame.join(F.broadcast(known), self.pk == F.col("_key"), "left_semi"), True)
+
     def members(self, gsi: GsiSpec) -> View:
         """Rows that an index holds: those with a partition value, and a sort value if it has one."""
         present = ~self.value(gsi.partition_key).is_null

@@ -3,7 +3,9 @@
 Rows come from a directory of JSON files (schemaless, one VARIANT each), from single writes, or
 from any DataFrame (typed). A snapshot is never changed: refreshes and flushed writes swap in a
 new one, so that a query keeps the rows that it began with. Single writes go to a buffer of at
-most BUFFER records, which every query sees, and then into a new snapshot.
+most BUFFER records, which every query sees, and then into a new snapshot; many records at once
+(``bulk_load``) become a snapshot in batches. Writes of several threads take turns; a reader gets
+the snapshot and the buffer of one moment.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import threading
 import time
 from collections.abc import Callable, Iterable
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -32,6 +36,8 @@ from .sources.json_dir import list_manifest, read_documents, read_files
 from .spec import AssociationSpec, GsiSpec, SchemaError, TableSpec
 
 BUFFER = 1000
+#: Records that bulk_load turns into one snapshot.
+BATCH = 50_000
 #: Every so many refreshes a cached table is read anew, which ends the chain of snapshots.
 LINEAGE = 20
 ROW = "_pk string, doc variant, _file string"
@@ -82,6 +88,7 @@ class Table:
         self._base: DataFrame | None = None
         self._hot: DataFrame | None = None
         self._refreshes = 0
+        self._lock = threading.RLock()
         self._buffer: dict[str, str | None] = {}
         self._manifest: dict[str, tuple[int, int]] = {}
         self._checked = 0.0
@@ -117,21 +124,23 @@ class Table:
 
     def view(self) -> View:
         """The rows as of now: the snapshot under the buffered writes."""
-        if self._typed is not None and not self._buffer:
+        with self._lock:
+            base, buffer = self._base, dict(self._buffer)
+        if self._typed is not None and base is None and not buffer:
             return View(self.spec, self._typed)
-        return View(self.spec, self._schemaless(), "doc")
+        return View(self.spec, self._schemaless(base, buffer), "doc")
 
-    def _schemaless(self) -> DataFrame:
-        base = self._base
+    def _schemaless(self, base: DataFrame | None, buffer: dict[str, str | None]) -> DataFrame:
+        """The snapshot base under the writes of buffer."""
         if base is None and self._typed is not None:
             typed = View(self.spec, self._typed)
             base = self._typed.select(typed.pk.alias("_pk"), F.to_variant_object(F.struct("*")).alias("doc"), F.lit(None).cast("string").alias("_file"))
         if base is None:
             base = self.spark.createDataFrame([], ROW)
-        if not self._buffer:
+        if not buffer:
             return base
-        new = self.spark.createDataFrame(list(self._buffer.items()), "_pk string, text string")
-        kept = base.join(F.broadcast(new.select("_pk")), "_pk", "left_anti")  # at most BUFFER keys
+        new = self.spark.createDataFrame(list(buffer.items()), "_pk string, text string")
+        kept = base.join(F.broadcast(new.select("_pk")), "_pk", "left_anti")  # at most BATCH keys
         written = new.where("text is not null").select("_pk", F.parse_json("text").alias("doc"), F.lit(None).cast("string").alias("_file"))
         return kept.unionByName(written)
 
@@ -206,47 +215,69 @@ class Table:
         return key
 
     def put(self, record: dict[str, Any]) -> None:
-        key = self._accept(record)
-        if key is None:
-            return
-        text = json.dumps(record, ensure_ascii=False)
-        if self.spec.directory:
-            file = write_atomic(self.spec.directory, key, text)
-            self.last_write_used_atomic = True
-            s = os.stat(os.path.join(self.spec.directory, file))
-            self._manifest[file] = (s.st_mtime_ns, s.st_size)
-        self._buffer[key] = text
-        self._postings = None
-        self._flush_if_full()
+        with self._lock:
+            key = self._accept(record)
+            if key is None:
+                return
+            text = json.dumps(record, ensure_ascii=False)
+            if self.spec.directory:
+                file = write_atomic(self.spec.directory, key, text)
+                self.last_write_used_atomic = True
+                s = os.stat(os.path.join(self.spec.directory, file))
+                self._manifest[file] = (s.st_mtime_ns, s.st_size)
+            self._buffer[key] = text
+            self._postings = None
+            self._flush(BUFFER)
         self._fire(self.on_put, record)
 
     def bulk_load(self, records: Iterable[dict[str, Any]]) -> None:
-        for record in records:
-            self.put(record)
+        """Put many records: of one key the last stays. Files are written in tasks, and each BATCH
+        of records is one snapshot."""
+        records = iter(records)
+        while batch := list(islice(records, BATCH)):
+            with self._lock:
+                texts, taken = {}, []
+                for record in batch:
+                    if (key := self._accept(record)) is not None:
+                        texts[key] = json.dumps(record, ensure_ascii=False)
+                        taken.append(record)
+                if texts and self.spec.directory:
+                    for key in texts:
+                        check_key(key)
+                    JsonWriter(self.spec.directory).write(self.spark.createDataFrame(list(texts.items()), "key string, text string"))
+                    self.last_write_used_atomic = True
+                    self._manifest = list_manifest(self.spec.directory)
+                self._buffer |= texts
+                self._postings = None
+                self._flush(1)
+            for record in taken if self.on_put else ():
+                self._fire(self.on_put, record)
 
     def delete(self, pk: Any, sort: Any = None) -> None:
         key = text_of(pk) if sort is None else SEPARATOR.join((text_of(pk), text_of(sort)))
-        old = self.get(pk, sort)
-        if old is None:
-            return
-        self._buffer[key] = None
-        self._postings = None
-        if self.spec.directory:
-            file = f"{check_key(key)}.json"
-            path = os.path.join(self.spec.directory, file)
-            if os.path.exists(path):
-                os.unlink(path)
-            self._manifest.pop(file, None)
-        self._flush_if_full()
+        with self._lock:
+            old = self.get(pk, sort)
+            if old is None:
+                return
+            self._buffer[key] = None
+            self._postings = None
+            if self.spec.directory:
+                file = f"{check_key(key)}.json"
+                path = os.path.join(self.spec.directory, file)
+                if os.path.exists(path):
+                    os.unlink(path)
+                self._manifest.pop(file, None)
+            self._flush(BUFFER)
         self._fire(self.on_delete, old)
 
-    def _flush_if_full(self) -> None:
-        if len(self._buffer) < BUFFER:
+    def _flush(self, least: int) -> None:
+        """Make the buffer a snapshot if it has so many writes."""
+        if len(self._buffer) < least:
             return
         if self.spec.directory and self.spec.storage == "index_only":  # all of it is in the files
             self._swap(self._keyed(read_documents(self.spark, self.spec.directory, self._manifest)))
         else:
-            self._swap(self._schemaless())
+            self._swap(self._schemaless(self._base, self._buffer))
         self._buffer = {}
 
     def export(self, directory: str) -> int:
@@ -268,6 +299,10 @@ class Table:
     # -- loading and freshness ----------------------------------------------------------------
 
     def load_from_dir(self, directory: str | None = None) -> None:
+        with self._lock:
+            self._load(directory)
+
+    def _load(self, directory: str | None) -> None:
         if directory is not None:
             self.spec.directory = directory
         if not self.spec.directory:
@@ -325,6 +360,10 @@ class Table:
 
     def refresh(self) -> ChangeSummary:
         """Read added and modified files, drop deleted ones, swap the snapshot."""
+        with self._lock:
+            return self._refresh()
+
+    def _refresh(self) -> ChangeSummary:
         if not self.spec.directory:
             self.last_change_summary = ChangeSummary()
             return self.last_change_summary
@@ -340,7 +379,7 @@ class Table:
             if self.spec.storage == "memory" and self._base is not None and self._refreshes % LINEAGE:
                 # the snapshot is cached: only what changed is read
                 touched = self.spark.createDataFrame([(n,) for n in reread + changes.deleted], "_f string")
-                current = self._schemaless()
+                current = self._schemaless(self._base, self._buffer)
                 kept = current.join(touched, F.col("_file") == F.col("_f"), "left_anti")
                 named = F.concat(F.col("_pk"), F.lit(".json"))
                 kept = kept.join(touched.withColumnRenamed("_f", "_g"), F.col("_file").isNull() & (named == F.col("_g")), "left_anti")
@@ -382,6 +421,11 @@ class Table:
         found = self._list(view, view.order())
         return found[0] if found else None
 
+    def get_many(self, keys: Iterable[Any]) -> list[dict[str, Any]]:
+        """The records of those keys that there are, in order of key; composite keys are tuples."""
+        view = self.view().by_keys(list(keys))
+        return self._list(view, view.order())
+
     def scan_snapshot(self) -> list[dict[str, Any]]:
         view = self.view()
         return self._list(view, view.order())
@@ -416,9 +460,8 @@ class Table:
     def resolve_association(self, name: str, pk: Any, tables: dict[str, Table]) -> Any:
         if name not in self.spec.associations:
             raise KeyError(f"table {self.name!r} has no association {name!r}")
-        view = self.view()
-        view = view.by_key(pk)
-        rows = resolve(view, self.spec.associations[name], {}, lambda t: tables[t].view()).select(F.struct(F.col(f"_inc_{name}").alias("v")).alias("record"))
+        view = self.view().by_key(pk)
+        rows = resolve(view.on(view.frame, True), self.spec.associations[name], {}, lambda t: tables[t].view()).select(F.struct(F.col(f"_inc_{name}").alias("v")).alias("record"))
         found = [json.loads(r["t"]) for r in rows.select(F.to_json("record", {"ignoreNullFields": "false"}).alias("t")).collect()]
         many = self.spec.associations[name].kind != "belongs_to"
         if not found or found[0].get("v") is None:
