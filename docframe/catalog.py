@@ -359,3 +359,6 @@ def index_only_join_back(spark, sf_dir):
     index = rows.select("doc_id", "source")  # the narrow part stays hot, documents are read by key
     hits = View(TableSpec("documents", "doc_id"), index).partition(GsiSpec("by_source", "source"), "src3").frame.select("doc_id")
     return rows.join(hits, "doc_id", "left_semi").select("doc_id", "lang", "n_chars")
+
+
+from . import folders  # noqa: E402, F401  registers the queries of file-backed tables
