@@ -242,3 +242,51 @@ def test_schema_errors(spark, tmp_path):
     for bad, what in (({"tables": {"t": {"directory": "t"}}}, "primary_key"), ({"tables": {"t": {"primary_key": "id", "gsis": {"g": {}}}}}, "partition_key"), ({}, "tables"), ({"tables": {"t": {"primary_key": "id", "associations": {"a": {"type": "has_many", "table": "u"}}}}}, "index")):
         with pytest.raises(SchemaError, match=what):
             Database.from_schema_dict(bad, str(tmp_path), spark)
+
+
+def test_threads_put_and_none_is_lost(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    import docframe.table as module
+
+    table = Table("users", primary_key="id", directory=str(tmp_path), spark=spark)
+    old, module.BUFFER = module.BUFFER, 30
+    try:
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda i: table.put({"id": f"u{i}", "n": i}), range(100)))
+            counts = list(pool.map(lambda _: table.count(), range(4)))
+    finally:
+        module.BUFFER = old
+    assert counts == [100] * 4 and {r["id"] for r in table.scan()} == {f"u{i}" for i in range(100)}
+    again = Table("users", primary_key="id", directory=str(tmp_path), spark=spark)
+    again.load_from_dir()
+    assert again.count() == 100
+
+
+def test_threads_put_one_key_and_refresh(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = Table("users", primary_key="id", directory=str(tmp_path), spark=spark)
+    table.put({"id": "a", "n": -1})
+    with ThreadPoolExecutor(8) as pool:
+        waits = [pool.submit(table.put, {"id": "a", "n": i}) for i in range(20)] + [pool.submit(table.refresh) for _ in range(3)]
+        reads = [pool.submit(table.get, "a") for _ in range(4)]
+        for w in waits:
+            w.result()
+    assert all(r.result()["n"] in range(-1, 20) for r in reads)
+    table.put({"id": "a", "n": 99})
+    assert table.get("a") == {"id": "a", "n": 99} and table.count() == 1
+
+
+def test_bulk_load_in_batches(spark, tmp_path, monkeypatch):
+    import docframe.table as module
+
+    monkeypatch.setattr(module, "BATCH", 40)
+    table, seen = Table("users", primary_key="id", directory=str(tmp_path), spark=spark), []
+    table.on_put.append(seen.append)
+    table.bulk_load([{"id": f"u{i % 90}", "n": i} for i in range(100)] + [{"n": 5}])
+    assert table.count() == 90 and len(seen) == 100 and table.get("u3")["n"] == 93
+    assert sorted(r["n"] for r in table.get_many(["u0", "u50", "none"])) == [50, 90]
+    again = Table("users", primary_key="id", directory=str(tmp_path), spark=spark)
+    again.load_from_dir()
+    assert again.count() == 90 and again.get("u3")["n"] == 93
