@@ -276,6 +276,20 @@ def nested_three_levels(spark, sf_dir):
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT c_custkey, o_orderkey, l_linenumber, l_partkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def nested_three_levels_whole(spark, sf_dir):
+    rows = database(spark, sf_dir).query({"customer": {"include": {"orders": {"include": {"lines": {}}}}}})
+    rows = rows.select("c_custkey", F.explode("orders").alias("o")).select("c_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.explode("o.lines").alias("l"))
+    rows = rows.select("c_custkey", "o_orderkey", F.col("l.l_linenumber").alias("l_linenumber"), F.col("l.l_partkey").alias("l_partkey"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def nested_belongs_to_chain_whole(spark, sf_dir):
+    rows = database(spark, sf_dir).query({"customer": {"include": {"nation": {"include": {"region": {}}}}}})
+    return rows.select("c_custkey", F.col("nation.n_name").alias("n_name"), F.col("nation.region.r_name").alias("r_name"))
+
+
 @query(f"SELECT c_custkey, o_orderkey, o_totalprice FROM ({FIFTY}) JOIN orders ON o_custkey = c_custkey")
 def nested_projection(spark, sf_dir):
     rows = database(spark, sf_dir).query({"customer": FIFTY_PAGE | {"fields": ["c_custkey"], "include": {"orders": {"fields": ["o_orderkey", "o_totalprice"], "limit": 1}}}})
