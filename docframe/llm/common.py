@@ -21,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset (one machine, as in
-    tests) a temporary folder stands in, which goes when the process ends.
+    It lies under ``spark.checkpoint.dir``. Only on one machine, as in tests, a temporary folder
+    stands in where that is unset, which goes when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="docframe-"))
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
