@@ -1,16 +1,18 @@
 """A secondary index as an object of its own, for records that the caller holds.
 
-Tables do not maintain one: for them an index is a predicate and an order (plans.view).
+Its entries are rows of a table, and a query is a query of that table's index: an index is a
+predicate and an order (plans.view). Tables do not need one.
 """
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Callable
 from typing import Any
 
-from .functions.values import key_of, text_of
+from .functions.conditions import Condition
+from .functions.values import text_of
 from .spec import GsiSpec
+from .table import Table
 
 Predicate = Callable[[Any], bool]
 
@@ -18,46 +20,35 @@ Predicate = Callable[[Any], bool]
 class GSI:
     def __init__(self, name: str, partition_key: str, sort_key: str | None = None):
         self.spec = GsiSpec(name, partition_key, sort_key)
-        self._parts: dict[str, list[tuple]] = {}
-        self._count = 0
+        self._entries, self._count = Table(name, primary_key="entry"), 0
+        self._entries.add_gsi(name, "part", "sort" if sort_key else None)
 
     name = property(lambda self: self.spec.name)
     partition_key = property(lambda self: self.spec.partition_key)
     sort_key = property(lambda self: self.spec.sort_key)
 
-    def _place(self, record: dict[str, Any]) -> tuple[str, Any] | None:
-        """Partition and sort value, or None for records that the index skips."""
-        part = record.get(self.partition_key)
-        sort = record.get(self.sort_key) if self.sort_key else None
-        if part is None or self.sort_key and sort is None:
-            return None
-        return text_of(part), sort
-
     def put(self, pk: Any, record: dict[str, Any]) -> None:
-        if (at := self._place(record)) is not None:
-            part, sort = at
-            self._count += 1
-            order = key_of(sort) if self.sort_key else ()
-            insort(self._parts.setdefault(part, []), (order, self._count, pk, sort), key=lambda e: e[:2])
+        """Records without a partition value, or a sort value if the index has one, are skipped."""
+        part, sort = record.get(self.partition_key), record.get(self.sort_key) if self.sort_key else None
+        if part is None or self.sort_key and sort is None:
+            return
+        self._count += 1
+        self._entries.put({"entry": f"{self._count:012d}", "pk": pk, "part": text_of(part), "sort": sort})
 
     def remove(self, pk: Any, record: dict[str, Any]) -> None:
-        if (at := self._place(record)) is not None and at[0] in self._parts:
-            left = [e for e in self._parts[at[0]] if e[2] != pk]
-            if left:
-                self._parts[at[0]] = left
-            else:
-                del self._parts[at[0]]
+        for entry in self._of(record.get(self.partition_key)):
+            if entry["pk"] == pk:
+                self._entries.delete(entry["entry"])
 
     def update(self, pk: Any, old: dict[str, Any], new: dict[str, Any]) -> None:
         self.remove(pk, old)
         self.put(pk, new)
 
-    def query(self, partition_value: Any, sort_condition: Predicate | None = None, sort_direction: str = "asc") -> list[Any]:
+    def _of(self, part: Any, condition: Condition | Predicate | None = None, descending: bool = False) -> list[dict[str, Any]]:
+        return self._entries.query_gsi(self.name, text_of(part), condition, descending) if part is not None else []
+
+    def query(self, partition_value: Any, sort_condition: Condition | Predicate | None = None, sort_direction: str = "asc") -> list[Any]:
         """Keys in order of sort value, then of insertion; desc reverses the whole list."""
         if sort_direction not in ("asc", "desc"):
             raise ValueError(f"sort_direction is asc or desc, not {sort_direction!r}")
-        entries = self._parts.get(text_of(partition_value), []) if partition_value is not None else []
-        if sort_condition is not None:
-            entries = [e for e in entries if self.sort_key and sort_condition(e[3])]
-        keys = [e[2] for e in entries]
-        return keys[::-1] if sort_direction == "desc" else keys
+        return [e["pk"] for e in self._of(partition_value, sort_condition, sort_direction == "desc")]
