@@ -18,6 +18,8 @@ empty result. Only the named columns are read, so other columns may have any nam
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ MORE_RULES = [
 RULE_VERSION = "1"
 MARK, OTHER = "\u0001", "\u0002"
 STRETCH = 128
-LEDGER = "blob string, rule_version string, spans array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
+LEDGER = "blob string, rule_version string, spans array<struct<start:bigint,rank:int,kind:string,stop:bigint>>, scan string"
 
 
 def spans_of(text, rule: tuple[str, str, int, int], rank: int) -> F.Column:
@@ -102,10 +104,10 @@ def scan(rows: DataFrame, ledger_dir: str | None = None, text_col: str = "text",
     ledger_dir = ledger_dir or f"{shared_dir(spark)}/ledger"
     blobs, known = blobs_of(rows, text_col), ledger_at(spark, ledger_dir).where(F.col("rule_version") == version)
     blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    before = {f for f in known.inputFiles()}
-    scan_blobs(blobs, rules, version).write.mode("append").parquet(ledger_dir)
+    this = uuid.uuid4().hex
+    scan_blobs(blobs, rules, version).withColumn("scan", F.lit(this)).write.mode("append").parquet(ledger_dir)
     ledger = ledger_at(spark, ledger_dir)
-    fresh = ledger.where(~F.input_file_name().isin(sorted(before))) if before else ledger
+    fresh = ledger.where(F.col("scan") == this)
     # only blobs with findings move; paths without one keep an empty list
     hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0))
     hits = hits.select(F.col("blob").alias("_hit"), F.col("spans").alias("_spans"))
