@@ -5,7 +5,8 @@ bytes the capture with the smallest id is a response, the others are revisits th
 Each task cuts its records into archives of at most ``archive_bytes`` (or one longer record),
 each sorted by URL key, timestamp and id: a capture run. Spark's text writer puts records down as
 they are, with the blank lines that end a record as its separator, so archives land on any store
-that Spark writes to. They are not compressed, so that a record can be read at its offset.
+that Spark writes to. They are compressed as wholes, and the index gives offsets in what they
+hold; with ``compression`` "none" a record can be read at its offset.
 
 Read. Records are found by their Content-Length, never by searching for text that a payload
 might contain, and each payload is checked against its digest.
@@ -26,6 +27,7 @@ length are kept whole; an empty table writes no record and reads none.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,13 +97,13 @@ def _numbered(archive_bytes: int):
     return run
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
     """Archives under path, each of bounded size and sorted by URL key, stamp and id. Rows stay in
     the tasks to which the join by digest has dealt them."""
     rows = captures(pages, min_revisit, stamp_col).select(url_key(F.col("url")).alias("key"), "stamp", "page_id", record().alias("value"))
     rows = rows.mapInArrow(_numbered(archive_bytes), "archive long, key string, stamp string, page_id long, value string")
     rows = rows.sortWithinPartitions("archive", "key", "stamp", F.col("page_id").asc_nulls_last()).select("archive", "value")
-    rows.write.partitionBy("archive").option("lineSep", CRLF + CRLF).text(path)
+    rows.write.partitionBy("archive").option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -133,7 +135,7 @@ def read_index(spark, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 out = []
-                for at, f, payload in parse(content or b""):
+                for at, f, payload in parse(zlib.decompress(content, 31) if name.endswith(".gz") else content):
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(f["X-Payload-Length"])):
                         raise ValueError(f"{name}: the payload at byte {at} differs from its digest")
@@ -218,10 +220,10 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES, range_lines: int = RANGE_LINES) -> DataFrame:
+def archive(pages: DataFrame, min_revisit: int = MIN_REVISIT, stamp_col: str | None = None, archive_bytes: int = ARCHIVE_BYTES, range_lines: int = RANGE_LINES, compression: str = "gzip") -> DataFrame:
     """Write pages to new archives in the shared folder, read them back, merge their indexes."""
     path = f"{shared_dir(pages.sparkSession)}/warc"
-    write(pages, path, min_revisit, stamp_col, archive_bytes)
+    write(pages, path, min_revisit, stamp_col, archive_bytes, compression)
     return merge(read_index(pages.sparkSession, path), range_lines)
 
 
